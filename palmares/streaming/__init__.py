@@ -1,0 +1,5 @@
+"""No streaming operator is owed: the analysed application has no streaming source, sink or state.
+
+The grouped counts and sums of ``palmares.operators`` are plain DataFrame code and accept a streaming
+DataFrame as they are.
+"""
