@@ -24,7 +24,7 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("ml02_exact_sample", f"""
-SELECT name, n FROM (SELECT name, count(*) AS n, row_number() OVER (ORDER BY {HASH_SQL} % 4096, {HASH_SQL}, name) AS r FROM rv GROUP BY name)
+SELECT name, n FROM (SELECT name, count(*) AS n, row_number() OVER (ORDER BY {HASH_SQL} % 1048576, {HASH_SQL}, name) AS r FROM rv GROUP BY name)
 WHERE r <= floor((SELECT count(DISTINCT name) FROM rv) * 20 / 100)""")
 def sampled(spark: SparkSession, folder: str) -> DataFrame:
     return exact_sample(count_by(participation(spark, folder), ["name"]), ["name"], 20)

@@ -14,6 +14,7 @@ from palmares.plans.ages import season_top_sports
 from palmares.plans.medals import medal_map
 from palmares.plans.roles import DEFAULT_CODE, code_lookup, participation, raw_participation
 from palmares.sources.files import table
+from palmares.store import stored
 
 TOP_SQL = """top AS (SELECT season, sport FROM (
   SELECT season, sport, row_number() OVER (PARTITION BY season ORDER BY count(*) DESC, sport) AS r
@@ -24,8 +25,8 @@ TOP_SQL = """top AS (SELECT season, sport FROM (
 SELECT sport, count(*) AS n FROM rv JOIN (SELECT sport FROM top) USING (sport) WHERE medal <> 'No medal' GROUP BY sport""", TOP_SQL)
 def listed_twice(spark: SparkSession, folder: str) -> DataFrame:
     rows = participation(spark, folder)
-    listed = season_top_sports(rows).select("sport")
-    return count_by(match_listed(rows.filter(won()), F.broadcast(listed), "sport"), ["sport"])
+    listed = stored(season_top_sports(rows).select("sport"), "top")
+    return count_by(match_listed(rows.filter(won()), listed, "sport"), ["sport"])
 
 
 @query("jn02_attach_one_key", """

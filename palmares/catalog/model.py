@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palmares.catalog.registry import query
 from palmares.models.classify import FOREST_INPUTS, TREE_INPUTS, fit_classifier, forest, labelled_profiles, score, tree
 from palmares.models.forecast import (
-    ar_model, boosted_trees, cross_validate, forecast_per_series, pooled_forecast, random_forest, trend_model,
+    ar_model, boosted_model, cross_validate, forecast_per_series, pooled_forecast, random_forest, trend_model,
 )
 from palmares.operators.aggregates import count_by
 from palmares.operators.metrics import binary_metrics, class_report
@@ -26,19 +26,32 @@ MEDAL_INPUTS = ("year", "year_sin", "year_cos", "athletes", "mean_age")
 PROFILE_KEYS = [c for c in GROUPS if c not in ("age_bin", "bmi_bin")]
 
 
-def medal_forecast(spark: SparkSession, folder: str, regressor) -> DataFrame:
-    profile = stored(yearly_features(participation(spark, folder)), "profile")
-    return pooled_forecast(profile, future_rows(profile), ["season", "continent"], MEDAL_INPUTS, "medals", regressor)
+SERIES = ("season", "continent")
+
+
+def boosted_forecast(profile: DataFrame) -> DataFrame:
+    rows = history_with_future(profile.select(*SERIES, *MEDAL_INPUTS, "medals"), future_rows(profile))
+    return forecast_per_series(rows, SERIES, "year", "medals", boosted_model(MEDAL_INPUTS), inputs=MEDAL_INPUTS)
+
+
+def forest_forecast(profile: DataFrame) -> DataFrame:
+    ahead = pooled_forecast(profile, future_rows(profile), SERIES, MEDAL_INPUTS, "medals", random_forest())
+    return ahead.select(*SERIES, "year", "yhat")
+
+
+def ar_forecast(profile: DataFrame) -> DataFrame:
+    rows = history_with_future(profile.select(*SERIES, "year", "medals"), fixed_horizon(profile, "year", FORECAST_YEARS, SERIES))
+    return forecast_per_series(rows, SERIES, "year", "medals", ar_model())
 
 
 @query("ml05_boosted_trees")
 def boosted(spark: SparkSession, folder: str) -> DataFrame:
-    return medal_forecast(spark, folder, boosted_trees())
+    return boosted_forecast(yearly_features(participation(spark, folder)))
 
 
 @query("ml06_random_forest")
 def forested(spark: SparkSession, folder: str) -> DataFrame:
-    return medal_forecast(spark, folder, random_forest())
+    return forest_forecast(stored(yearly_features(participation(spark, folder)), "profile"))
 
 
 @query("ml07_age_forest")
@@ -58,16 +71,14 @@ def yearly_medals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("ml08_autoregression")
 def autoregressed(spark: SparkSession, folder: str) -> DataFrame:
-    by, history = ["season", "continent"], yearly_medals(spark, folder)
-    rows = history_with_future(history, fixed_horizon(history, "year", FORECAST_YEARS, by))
-    return forecast_per_series(rows, by, "year", "medals", ar_model())
+    return ar_forecast(yearly_medals(spark, folder))
 
 
 @query("ml09_trend_and_season")
 def trended(spark: SparkSession, folder: str) -> DataFrame:
-    by, history = ["season", "continent"], yearly_medals(spark, folder)
-    rows = history_with_future(history, horizon(history, "year", 10, 2, by))
-    return forecast_per_series(rows, by, "year", "medals", trend_model())
+    history = yearly_medals(spark, folder)
+    rows = history_with_future(history, horizon(history, "year", 10, 2, SERIES))
+    return forecast_per_series(rows, SERIES, "year", "medals", trend_model())
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,28 +120,25 @@ def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("ml16_per_series_validation")
 def validated(spark: SparkSession, folder: str) -> DataFrame:
-    by, series = ["season", "continent"], stored(yearly_medals(spark, folder), "series")
-    ar = cross_validate(series, by, "year", "medals", ar_model()).withColumn("model", F.lit("autoregression"))
-    trend = cross_validate(series, by, "year", "medals", trend_model()).withColumn("model", F.lit("trend"))
+    series = stored(yearly_medals(spark, folder), "series")
+    ar = cross_validate(series, SERIES, "year", "medals", ar_model()).withColumn("model", F.lit("autoregression"))
+    trend = cross_validate(series, SERIES, "year", "medals", trend_model()).withColumn("model", F.lit("trend"))
     return ar.unionByName(trend)
 
 
 @query("q1e_medal_forecast")
 def medal_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """History and forecasts of three models per season and continent."""
-    by = ["season", "continent"]
     profile = stored(yearly_features(participation(spark, folder)), "profile")
-    ahead = future_rows(profile)
-    history = profile.select(*by, "year", F.col("medals").cast("double").alias("medals")).withColumn("model", F.lit("history"))
-    trees = [
-        pooled_forecast(profile, ahead, by, MEDAL_INPUTS, "medals", regressor).withColumn("model", F.lit(name))
-        for name, regressor in (("boosted trees", boosted_trees()), ("random forest", random_forest()))
-    ]
-    rows = history_with_future(profile.select(*by, "year", "medals"), ahead.select(*by, "year"))
-    ar = forecast_per_series(rows, by, "year", "medals", ar_model()).withColumn("model", F.lit("autoregression"))
-    for part in (*trees, ar):
-        history = history.unionByName(part.select(*by, "year", F.col("yhat").alias("medals"), "model"))
-    return history
+    forecasts = {
+        "boosted trees": boosted_forecast(profile),
+        "random forest": forest_forecast(profile),
+        "autoregression": ar_forecast(profile),
+    }
+    rows = profile.select(*SERIES, "year", F.col("medals").cast("double").alias("medals"), F.lit("history").alias("model"))
+    for name, part in forecasts.items():
+        rows = rows.unionByName(part.select(*SERIES, "year", F.col("yhat").alias("medals"), F.lit(name).alias("model")))
+    return rows
 
 
 @query("q2e_age_forecast")

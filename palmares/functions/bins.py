@@ -69,25 +69,18 @@ def equal_width_bins(
 ) -> DataFrame:
     """Equal-width bins between the extremes of ``column`` with labels such as ``18.51-20.56``.
 
-    Only the first ``labelled`` bins get a label; rows of the others are dropped, or kept with null when
-    ``drop`` is false. A column with one single value falls into the first bin.
+    The ``bins + 1`` edges are read once, so the bins are plain comparisons with numbers. Only the first
+    ``labelled`` bins get a label; rows of the others are dropped, or kept with null when ``drop`` is false. A
+    column with one single value falls into the first bin.
     """
-    edges, value = F.col("_edges"), F.col(column)
-    step = 10.0**-digits
-
-    def label(i: int) -> Column:
-        lo = edges[i] if i == 0 else round_even(edges[i] + step, digits)
-        return F.concat_ws("-", lo.cast("string"), edges[i + 1].cast("string"))
-
-    def holds(i: int) -> Column:
-        upper = value <= edges[i + 1] if i == bins - 1 else value < edges[i + 1]
-        return (value >= edges[i]) & upper
-
-    chain = F.when(edges[0] == edges[bins], label(0))
-    chain = reduce(lambda c, i: c.when(holds(i), label(i)), range(labelled), chain)
-    out = (
-        df.withColumn("_edges", equal_width_edges(df, column, bins, digits).scalar())
-        .withColumn(target, F.when(value.isNotNull(), chain))
-        .drop("_edges")
-    )
+    edges = equal_width_edges(df, column, bins, digits).first()["edges"]
+    if edges[0] is None:
+        label = F.lit(None).cast("string")
+    else:
+        starts = [edges[0]] + [round(e + 10.0**-digits, digits) for e in edges[1:]]
+        labels = [f"{starts[i]}-{edges[i + 1]}" if i < labelled else None for i in range(bins)]
+        label = fixed_bins(column, edges, labels)
+        if edges[0] == edges[-1]:
+            label = F.when(F.col(column) == edges[0], F.lit(labels[0]))
+    out = df.withColumn(target, label)
     return out.filter(F.col(target).isNotNull()) if drop else out

@@ -1,8 +1,10 @@
 """Forecasts of yearly series.
 
 Input rows carry ``kind``: ``history`` rows have the value, ``forecast`` rows are to be predicted. Per-series
-models run in ``applyInPandas``, one short series (one row per period) to a group, all series in parallel.
-Tree models are one pooled Spark ML fit over all series, with the series as one-hot features.
+models (autoregression, trend, boosted trees) run in ``applyInPandas``, one short series (one row per period) to a
+group, all series in parallel. Boosting is sequential: as one distributed fit it would launch several jobs per
+tree for a table of a few hundred rows. Forests grow their trees side by side and are one pooled Spark ML fit over
+all series, with the series as one-hot features.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from palmares.operators.metrics import mean_absolute_error
@@ -65,22 +67,65 @@ def trend_and_season(
     return design(ahead) @ weights * scale
 
 
-Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int):
+    """Least-squares regression tree: a leaf is its mean, a split ``(feature, cut, below, above)``."""
+    best = (1e-12, None, None)
+    whole = y.sum() ** 2 / len(y)
+    for feature in range(x.shape[1] if depth else 0):
+        order = np.argsort(x[:, feature], kind="stable")
+        xs, left = x[order, feature], np.cumsum(y[order])[:-1]
+        n = np.arange(1, len(y))
+        gain = np.where(xs[1:] > xs[:-1], left**2 / n + (y.sum() - left) ** 2 / (len(y) - n) - whole, 0.0)
+        at = int(np.argmax(gain)) if len(gain) else 0
+        if len(gain) and gain[at] > best[0]:
+            best = (gain[at], feature, (xs[at] + xs[at + 1]) / 2)
+    if best[1] is None:
+        return y.mean()
+    below = x[:, best[1]] <= best[2]
+    return best[1], best[2], grow_tree(x[below], y[below], depth - 1), grow_tree(x[~below], y[~below], depth - 1)
+
+
+def tree_values(node, x: np.ndarray) -> np.ndarray:
+    if not isinstance(node, tuple):
+        return np.full(len(x), node)
+    feature, cut, below, above = node
+    return np.where(x[:, feature] <= cut, tree_values(below, x), tree_values(above, x))
+
+
+def boosted_trees(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, trees: int, depth: int, rate: float) -> np.ndarray:
+    """Each tree is fitted to the residuals of the mean and the trees before it."""
+    fitted, out = np.full(len(y), y.mean()), np.full(len(ahead), y.mean())
+    for _ in range(trees):
+        tree = grow_tree(x, y - fitted, depth)
+        fitted += rate * tree_values(tree, x)
+        out += rate * tree_values(tree, ahead)
+    return out
+
+
+Model = Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], np.ndarray]
 
 
 def ar_model(lags: int = 5, differences: int = 1) -> Model:
-    return lambda times, values, ahead: autoregression(values, len(ahead), lags, differences)
+    return lambda history, y, future: autoregression(y, len(future), lags, differences)
 
 
-def trend_model(bends: int = 25, waves: int = 10, ridge: float = 1.0) -> Model:
-    return lambda times, values, ahead: trend_and_season(times, values, ahead, bends, waves, ridge)
+def trend_model(time: str = "year", bends: int = 25, waves: int = 10, ridge: float = 1.0) -> Model:
+    return lambda history, y, future: trend_and_season(
+        history[time].to_numpy(float), y, future[time].to_numpy(float), bends, waves, ridge
+    )
+
+
+def boosted_model(inputs: Sequence[str], trees: int = 500, depth: int = 3, rate: float = 0.1) -> Model:
+    return lambda history, y, future: boosted_trees(
+        history[list(inputs)].to_numpy(float), y, future[list(inputs)].to_numpy(float), trees, depth, rate
+    )
 
 
 def forecast_per_series(
-    rows: DataFrame, by: Sequence[str], time: str, value: str, model: Model, target: str = "yhat"
+    rows: DataFrame, by: Sequence[str], time: str, value: str, model: Model, target: str = "yhat", inputs: Sequence[str] = ()
 ) -> DataFrame:
     """Predict the ``forecast`` rows of every series from its ``history`` rows."""
-    keep = [*by, time, "kind", value]
+    keep = list(dict.fromkeys([*by, time, "kind", value, *inputs]))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {fields[c]}" for c in (*by, time)] + [f"`{target}` double"])
 
@@ -88,12 +133,8 @@ def forecast_per_series(
         group = group.sort_values(time)
         history, future = group[group["kind"] == "history"], group[group["kind"] == "forecast"]
         out = future[[*by, time]].copy()
-        if len(history) and len(future):
-            out[target] = model(
-                history[time].to_numpy(float), history[value].to_numpy(float), future[time].to_numpy(float)
-            )
-        else:
-            out[target] = np.nan
+        known = len(history) and len(future)
+        out[target] = model(history, history[value].to_numpy(float), future) if known else np.nan
         return out
 
     return rows.select(*keep).groupBy(*by).applyInPandas(fit, schema)
@@ -110,10 +151,6 @@ def cross_validate(
     return mean_absolute_error(tested, value, "yhat", [*by, "fold"])
 
 
-def boosted_trees(trees: int = 500, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed, featuresCol="features")
-
-
 def random_forest(trees: int = 500, seed: int = 42) -> RandomForestRegressor:
     return RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed, featuresCol="features")
 
@@ -122,11 +159,7 @@ def pooled_forecast(
     history: DataFrame, future: DataFrame, by: Sequence[str], inputs: Sequence[str], value: str, regressor,
     target: str = "yhat",
 ) -> DataFrame:
-    """Fit one tree model over the history of all series and predict the future rows.
-
-    The history is an aggregate with one row per series and period, hence a single partition while the many
-    boosting rounds read it.
-    """
+    """Fit one forest over the history of all series and predict the future rows."""
     indexed, coded = [f"_{c}_at" for c in by], [f"_{c}_hot" for c in by]
     stages = [
         StringIndexer(inputCols=list(by), outputCols=indexed, handleInvalid="keep"),
@@ -135,6 +168,4 @@ def pooled_forecast(
         regressor.copy().setLabelCol("_label").setPredictionCol(target),
     ]
     train = history.na.drop(subset=[*inputs, value]).withColumn("_label", F.col(value).cast("double"))
-    model = Pipeline(stages=stages).fit(train.coalesce(1).cache())
-    scored = model.transform(future)
-    return scored.select(*future.columns, target)
+    return Pipeline(stages=stages).fit(train).transform(future).select(*future.columns, target)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from palmares.schemas import PREDECESSORS
 
@@ -25,7 +26,8 @@ def apply_filters(
     for column in dict.fromkeys([*chosen, *defaults]):
         values = chosen.get(column) or defaults.get(column)
         if values:
-            df = df.filter(member(column, values))
+            numbers = df.schema[column].dataType != StringType() and not any(isinstance(v, str) for v in values)
+            df = df.filter(F.col(column).isin(list(values)) if numbers else member(column, values))
     return df
 
 

@@ -15,7 +15,7 @@ def split(df: DataFrame, keys: Sequence[str], train_pct: int, seed: int = 42, ta
     return df.withColumn(target, F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
-def exact_sample(df: DataFrame, keys: Sequence[str], pct: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
+def exact_sample(df: DataFrame, keys: Sequence[str], pct: int, seed: int = 42, buckets: int = 1 << 20) -> DataFrame:
     """Exactly ``floor(rows * pct / 100)`` rows: those with the smallest hash of their unique key.
 
     Hash buckets below the boundary are taken whole; only the one bucket that the boundary cuts is ordered.

@@ -11,6 +11,7 @@ from palmares.operators.aggregates import category_pivot, count_by, share, typic
 from palmares.operators.filters import apply_filters
 from palmares.operators.joins import keep_listed, range_label
 from palmares.operators.ranking import top_k_per_group
+from palmares.store import stored
 
 
 def season_top_sports(df: DataFrame, k: int = 3, century: int = 21) -> DataFrame:
@@ -22,10 +23,10 @@ def season_top_sports(df: DataFrame, k: int = 3, century: int = 21) -> DataFrame
 def in_top_sports(df: DataFrame, k: int = 3, century: int = 21) -> DataFrame:
     """Medal rows of all years in a sport that leads either season in the century.
 
-    The list holds at most k sports per season, so it is small enough to broadcast.
+    The list is stored: the counts behind it run once, and the planner sees that it is small.
     """
-    listed = season_top_sports(df, k, century).select("sport").distinct()
-    return keep_listed(df.filter(won()), F.broadcast(listed), "sport")
+    listed = stored(season_top_sports(df, k, century).select("sport").distinct(), "top")
+    return keep_listed(df.filter(won()), listed, "sport")
 
 
 def medals_of_top_sports(df: DataFrame, k: int = 3, century: int = 21) -> DataFrame:

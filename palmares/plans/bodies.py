@@ -40,9 +40,12 @@ def body_groups(
     keys: Sequence[str] = GROUPS,
     rename: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Rows per profile since a year; ``rename`` unites team names after the count, so profiles can repeat."""
+    """Rows per profile since a year; ``rename`` unites team names after the count, so profiles can repeat.
+
+    The profiles are stored, since every view of the scenario reads them more than once.
+    """
     rows = bodies.filter(F.col("year") >= since)
-    groups = count_by(rows.filter(won()) if medals_only else rows, keys, "medal", "medals")
+    groups = stored(count_by(rows.filter(won()) if medals_only else rows, keys, "medal", "medals"), "profiles")
     return groups.withColumn("team", recode("team", rename)) if rename else groups
 
 
