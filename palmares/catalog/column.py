@@ -364,7 +364,7 @@ SELECT sport, row_number() OVER (ORDER BY y, e, sport) - 1 AS sport_at
 FROM (SELECT sport, min(year) AS y, min_by(event, (year, event)) AS e FROM rv WHERE medal = 'Gold' GROUP BY sport)""")
 def first_seen(spark: SparkSession, folder: str) -> DataFrame:
     golds = participation(spark, folder).filter(F.col("medal") == "Gold").select("sport", "year", "event")
-    return first_seen_index(golds, "sport", ["year", "event"], "sport_at").select("sport", "sport_at").distinct()
+    return first_seen_index(golds, {"sport": "sport_at"}, ["year", "event"]).select("sport", "sport_at").distinct()
 
 
 @query("fn16_century", """
@@ -465,8 +465,8 @@ SELECT sport, event, s AS sport_index, e AS event_index, n FROM (SELECT sport, e
 JOIN (SELECT sport, row_number() OVER (ORDER BY sport) - 1 AS s FROM (SELECT DISTINCT sport FROM rv)) USING (sport)
 JOIN (SELECT event, row_number() OVER (ORDER BY event) - 1 AS e FROM (SELECT DISTINCT event FROM rv)) USING (event)""")
 def label_indices(spark: SparkSession, folder: str) -> DataFrame:
-    rows = label_index(participation(spark, folder).select("sport", "event"), "sport", "sport_index")
-    return count_by(label_index(rows, "event", "event_index"), ["sport", "event", "sport_index", "event_index"])
+    rows = label_index(participation(spark, folder).select("sport", "event"), {"sport": "sport_index", "event": "event_index"})
+    return count_by(rows, ["sport", "event", "sport_index", "event_index"])
 
 
 @query("en02_standardise", """

@@ -19,8 +19,7 @@ TREE_INPUTS = ("height", "weight", "age", "bmi", "sport_at")
 
 def labelled_profiles(groups: DataFrame) -> DataFrame:
     """Profiles with alphabetical integer codes for sport and sex and the 0/1 ``actual`` class."""
-    coded = label_index(label_index(groups, "sport", "sport_at"), "sex", "sex_at")
-    return coded.withColumn("actual", flag("medal", NO_MEDAL))
+    return label_index(groups, {"sport": "sport_at", "sex": "sex_at"}).withColumn("actual", flag("medal", NO_MEDAL))
 
 
 def fit_classifier(train: DataFrame, classifier, inputs: Sequence[str]) -> PipelineModel:

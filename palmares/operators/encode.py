@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from palmares.operators.joins import attach
 from palmares.operators.ranking import number_rows
+from palmares.store import stored
 
 
-def label_index(df: DataFrame, column: str, target: str) -> DataFrame:
-    """Position of the value among the distinct values in alphabetical order, from 0; null stays null."""
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return attach(df, number_rows(values, [column], target), column)
+def _numbered(df: DataFrame, targets: Mapping[str, str], order: Sequence[str]) -> DataFrame:
+    """Number the values of each text column from 0 by their smallest ``order``, then alphabetically.
+
+    The values of all columns are collected in one pass as (column, value) pairs and numbered together.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in targets])
+    values = (
+        df.select(F.struct(*order, F.lit(0)).alias("_order"), F.inline(pairs))
+        .filter(F.col("_value").isNotNull())
+        .groupBy("_column", "_value")
+        .agg(F.min("_order").alias("_first"))
+    )
+    numbers = stored(number_rows(values, ["_column", "_first", "_value"], "_number").drop("_first"), "numbers")
+    starts = numbers.groupBy("_column").agg(F.min("_number").alias("_start"))
+    numbers = stored(
+        numbers.join(starts, "_column").select("_column", "_value", (F.col("_number") - F.col("_start")).alias("_at")),
+        "numbers",
+    )
+    for column, target in targets.items():
+        index = numbers.filter(F.col("_column") == column).select(F.col("_value").alias(column), F.col("_at").alias(target))
+        df = df.join(index, column, "left")
+    return df
+
+
+def label_index(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
+    """For each text column its position among the distinct values in alphabetical order, from 0; null stays null.
+
+    ``targets`` maps the columns to the names of their positions.
+    """
+    return _numbered(df, targets, ())
 
 
-def first_seen_index(df: DataFrame, column: str, order: Sequence[str], target: str) -> DataFrame:
-    """Position of the value by its first appearance in the order of the frame, from 0."""
-    values = df.groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    return attach(df, number_rows(values, ["_first", column], target).drop("_first"), column)
+def first_seen_index(df: DataFrame, targets: Mapping[str, str], order: Sequence[str]) -> DataFrame:
+    """For each text column the position of its value by first appearance in the order of the frame, from 0."""
+    return _numbered(df, targets, order)
 
 
 def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:

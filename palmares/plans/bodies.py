@@ -56,9 +56,7 @@ def body_hierarchy(groups: DataFrame, path: Sequence[str]) -> DataFrame:
 
 def parallel_axes(groups: DataFrame, categories: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Profiles with one integer column ``<category>_at`` per category, numbered by first appearance."""
-    for column in categories:
-        groups = first_seen_index(groups, column, order, f"{column}_at")
-    return groups
+    return first_seen_index(groups, {c: f"{c}_at" for c in categories}, order)
 
 
 def axis_ranges(groups: DataFrame, columns: Sequence[str]) -> DataFrame:

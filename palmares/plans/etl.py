@@ -13,6 +13,7 @@ from palmares.operators.aggregates import count_by
 from palmares.operators.impute import fill_body_measures, with_group_mean
 from palmares.operators.joins import attach, lookup
 from palmares.schemas import CONTINENT_NAMES, DEFAULT_CONTINENT, MEDAL_NAMES, NO_MEDAL, SEX_NAMES
+from palmares.store import stored
 
 
 def split_games(df: DataFrame, games: str = "games") -> DataFrame:
@@ -57,10 +58,11 @@ def prepare_early(
 ) -> DataFrame:
     """The earlier preparation: imputed body measures, age groups of ten years, medals per country and mean age.
 
-    ``medal`` keeps its nulls here. Country and sport-year values are means and counts over the kept rows.
+    ``medal`` keeps its nulls here. Country and sport-year values are means and counts over the kept rows, which
+    are stored between the two steps.
     """
     filled = fill_body_measures(raw.na.drop(subset=["age"]))
-    filled = split_games(filled).withColumn("age_group", decade_bin("age"))
+    filled = stored(split_games(filled).withColumn("age_group", decade_bin("age")), "filled")
     medals = count_by(filled.filter(F.col("medal").isNotNull()), ["noc"], target="medal_count")
     counted = attach(filled, medals, "noc")
     aged = with_group_mean(counted, "age", ["year", "sport"], "average_age", digits=2)

@@ -18,11 +18,22 @@ from palmares.store import stored
 DEFAULT_CODE = "AM"
 CONTINENT_CODES = {"AF": "AFRICA", "AM": "AMERICA", "AS": "ASIA", "EU": "EUROPE", "MI": "MIDDLE EAST"}
 
-_prepared: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def raw_participation(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw rows. Orders meet their customers before the line items, which are then shuffled once per join key."""
+def _once(spark: SparkSession, folder: str, label: str, build, refresh: bool = False, partition_by=()) -> DataFrame:
+    """The table of this session, folder and label, written at first use."""
+    key = (spark.sparkContext.applicationId, folder, label)
+    if refresh or key not in _stored:
+        _stored[key] = stored(build(spark, folder), label, partition_by)
+    return _stored[key]
+
+
+def join_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw rows as a plan over the tables.
+
+    Orders meet their customers before the line items, which are then shuffled once per join key.
+    """
     customers = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
@@ -64,21 +75,27 @@ def code_rows(spark: SparkSession, folder: str) -> DataFrame:
     return nations.select(key.alias("ioc"), F.substring("r_name", 1, 2).alias("continent"))
 
 
+def raw_participation(spark: SparkSession, folder: str, refresh: bool = False) -> DataFrame:
+    """The raw table, loaded once per session and folder. ``refresh`` loads it anew after the tables have changed."""
+    return _once(spark, folder, "raw", join_tables, refresh)
+
+
 def code_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_lookup(code_rows(spark, folder), blank=DEFAULT_CODE)
+    """The cleaned lookup, stored so that the planner knows its size."""
+    return _once(spark, folder, "codes", lambda s, f: clean_lookup(code_rows(s, f), blank=DEFAULT_CODE))
 
 
 def prepare_roles(spark: SparkSession, folder: str) -> DataFrame:
-    """The prepared rows as a plan over the tables, not stored."""
+    """The prepared rows as a plan over the raw table."""
     return prepare(raw_participation(spark, folder), code_lookup(spark, folder), CONTINENT_CODES, DEFAULT_CODE)
 
 
 def participation(spark: SparkSession, folder: str, refresh: bool = False) -> DataFrame:
     """The prepared table, written once per session and folder and read by every scenario.
 
-    ``refresh`` writes it anew after the tables in the folder have changed.
+    It is partitioned by century and season, so a scenario of one century reads only its folders. ``refresh``
+    writes it anew, also the raw table.
     """
-    key = (spark.sparkContext.applicationId, folder)
-    if refresh or key not in _prepared:
-        _prepared[key] = stored(prepare_roles(spark, folder), "prepared", ["century", "season"])
-    return _prepared[key]
+    if refresh:
+        raw_participation(spark, folder, refresh)
+    return _once(spark, folder, "prepared", prepare_roles, refresh, ["century", "season"])

@@ -158,8 +158,8 @@ def test_profiles_and_reports(spark):
 
 def test_encodings(spark):
     rows = spark.createDataFrame([("run", 3), ("box", 1), ("run", 2), (None, 9), ("swim", 1)], "s string, at int")
-    assert {(r["s"], r["i"]) for r in label_index(rows, "s", "i").collect()} == {("box", 0), ("run", 1), ("swim", 2), (None, None)}
-    seen = first_seen_index(rows.filter("s is not null"), "s", ["at"], "i")
+    assert {(r["s"], r["i"]) for r in label_index(rows, {"s": "i"}).collect()} == {("box", 0), ("run", 1), ("swim", 2), (None, None)}
+    seen = first_seen_index(rows.filter("s is not null"), {"s": "i"}, ["at"])
     assert {(r["s"], r["i"]) for r in seen.collect()} == {("box", 0), ("swim", 1), ("run", 2)}
     z = [r["v_z"] for r in standardise(spark.createDataFrame([(1.0,), (3.0,)], "v double"), ["v"]).collect()]
     assert sorted(z) == [-1.0, 1.0]
