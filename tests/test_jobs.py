@@ -4,11 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palmares.catalog import QUERIES
+import compare
+from palmares.catalog import QUERIES, SQL
+from palmares.jobs import load, prepare_table
 from palmares.models.forecast import (
     ar_model, autoregression, boosted_trees, cross_validate, forecast_per_series, grow_tree, tree_values, trend_and_season,
 )
+from palmares.operators.filters import apply_filters, expand_values
+from palmares.operators.joins import attach
 from palmares.operators.series import history_with_future, horizon
+from palmares.plans.defaults import DOUBLE_FILTERS, FLOW_FILTERS
 from palmares.plans.etl import prepare, prepare_early
 from palmares.plans.medals import medal_groups
 from palmares.schemas import PREPARED
@@ -54,6 +59,28 @@ def test_preparation_from_files(spark, files):
     assert found[("Anna", 1992)]["medal"] == "No medal"
 
 
+def test_load_and_prepare_jobs(spark, files):
+    name, path = "palmares_jobs_test", new_path(spark, "export")
+    create_database(spark, name, new_path(spark, name))
+    load(spark, str(files / "fact.csv"), name)
+    prepare_table(spark, name, str(files / "codes.csv"), export_path=path)
+    assert spark.table(f"{name}.participation_raw").count() == 7 and spark.table(f"{name}.participation").count() == 4
+    exported = read_fact_csv(spark, path, spark.table(f"{name}.participation").schema)
+    assert sorted(r["continent"] for r in exported.collect()) == ["Europe", "Europe", "Europe", "North America"]
+    drop_database(spark, name)
+
+
+def test_empty_choices_take_the_default_lists(spark):
+    rows = spark.createDataFrame(
+        [("Summer", "2", "GER", "Male", 2), ("Summer", "6", "GER", "Male", 2), ("Winter", "S.Y.", "USA", "Female", 7)],
+        "season string, years_to_two string, noc string, sex string, gold_count bigint",
+    )
+    assert apply_filters(rows, {}, DOUBLE_FILTERS).count() == 1
+    assert apply_filters(rows, {"noc": expand_values(["GER"]), "years_to_two": ["6"]}, DOUBLE_FILTERS).count() == 1
+    assert apply_filters(rows, {}, FLOW_FILTERS).count() == 2
+    assert apply_filters(rows, {"sex": ["Female", "7"], "gold_count": ["Female", "7"]}).count() == 1
+
+
 def test_early_preparation_from_files(spark, files):
     rows = prepare_early(read_fact_csv(spark, str(files / "fact.csv")), read_lookup_csv(spark, str(files / "codes.csv")))
     found = {(r["name"], r["year"]): r for r in rows.collect()}
@@ -190,3 +217,48 @@ def test_medal_groups_sum_to_all_medals(spark):
 
     rows = participation(spark, "/root/testdata/sf0.001")
     assert medal_groups(rows).agg(F.sum("medals")).first()[0] == rows.filter("medal <> 'No medal'").count()
+
+
+@pytest.fixture
+def large_scale(spark):
+    """Settings under which small data is planned like large data: no broadcast, tiny partitions, skew found early."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_key_is_split_when_values_are_too_large_to_broadcast(spark, large_scale):
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("n"), F.col("id") % 5000)).alias("name"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+    joined = attach(rows, rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "inner")
+    hot = (F.col("name") == "hot") & (F.col("n") == 20000)
+    checked = joined.agg(F.count(F.lit(1)).alias("rows"), F.count_if(hot).alias("hot"), F.max("payload").alias("payload"))
+    assert tuple(checked.collect()[0])[:2] == (60000, 20000)
+    assert "SortMergeJoin(skew=true)" in checked._jdf.queryExecution().executedPlan().toString()
+
+
+SCALE = [
+    "jn07_lookup_default", "jn08_semi_top_k", "jn14_range_lookup", "jn05_distinct_per_key", "im01_three_stage", "ag16_hierarchy", "ag18_share",
+    "q2c_mean_age_medal", "q3b_body_hierarchy", "q4a_double_winners", "q4e_winner_hierarchy", "ml02_exact_sample", "en01_label_index",
+]
+
+
+@pytest.mark.parametrize("name", SCALE)
+def test_rows_without_broadcast(spark, large_scale, name):
+    frame = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert compare.differences(frame, compare.connect("/root/testdata/sf0.001"), SQL[name]) == []
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
