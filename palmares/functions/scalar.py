@@ -24,8 +24,8 @@ def century(year: str | Column) -> Column:
 
 
 def body_mass_index(weight: str, height: str) -> Column:
-    """Kilograms over squared metres, from kilograms and centimetres."""
-    return F.col(weight) / F.pow(F.col(height) / 100, F.lit(2))
+    """Kilograms over squared metres, from kilograms and centimetres; null for a height of 0."""
+    return F.try_divide(F.col(weight), F.pow(F.col(height) / 100, F.lit(2)))
 
 
 def cyclic(year: str | Column, top: Column) -> tuple[Column, Column]:

@@ -80,7 +80,7 @@ def with_root_share(tree: DataFrame, path: Sequence[str], amount: str = "amount"
     nodes = tree.filter(F.col("level") >= 1)
     return (
         nodes.join(roots, F.col(root).eqNullSafe(F.col("_root")))
-        .withColumn(target, F.col(amount) / F.col("_whole"))
+        .withColumn(target, F.try_divide(amount, "_whole"))
         .drop("_root", "_whole")
     )
 
@@ -89,7 +89,7 @@ def share(df: DataFrame, label: str, measure: str | None = None, amount: str = "
     """Amount per label and its share of the whole."""
     sums = sum_by(df, [label], measure, amount) if measure else count_by(df, [label], target=amount)
     whole = sums.agg(F.sum(amount)).scalar()
-    return sums.withColumn(target, F.col(amount) / whole)
+    return sums.withColumn(target, F.try_divide(F.col(amount), whole))
 
 
 def distinct_count_by(df: DataFrame, keys: Sequence[str], counted: str, target: str = "n") -> DataFrame:

@@ -23,7 +23,7 @@ def _numbered(df: DataFrame, targets: Mapping[str, str], order: Sequence[str]) -
         .groupBy("_column", "_value")
         .agg(F.min("_order").alias("_first"))
     )
-    numbers = stored(number_rows(values, ["_column", "_first", "_value"], "_number").drop("_first"), "numbers")
+    numbers = number_rows(values, ["_column", "_first", "_value"], "_number").drop("_first")
     starts = numbers.groupBy("_column").agg(F.min("_number").alias("_start"))
     numbers = stored(
         numbers.join(starts, "_column").select("_column", "_value", (F.col("_number") - F.col("_start")).alias("_at")),

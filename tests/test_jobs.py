@@ -136,10 +136,13 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     class Session:
         conf = Conf()
-        sparkContext = type("Context", (), {"master": "yarn"})
+
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
 
     with pytest.raises(ValueError):
-        shared_dir(Session())
+        shared_dir(Session("yarn"))
+    assert shared_dir(Session("local[2]")) == shared_dir(Session("local[2]"))
 
 
 def test_autoregression_recovers_its_process():
