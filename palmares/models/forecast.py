@@ -124,7 +124,10 @@ def boosted_model(inputs: Sequence[str], trees: int = 500, depth: int = 3, rate:
 def forecast_per_series(
     rows: DataFrame, by: Sequence[str], time: str, value: str, model: Model, target: str = "yhat", inputs: Sequence[str] = ()
 ) -> DataFrame:
-    """Predict the ``forecast`` rows of every series from its ``history`` rows."""
+    """Predict the ``forecast`` rows of every series from its ``history`` rows.
+
+    The series are spread over the cores of the cluster: by their few bytes alone AQE would merge them into one task.
+    """
     keep = list(dict.fromkeys([*by, time, "kind", value, *inputs]))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {fields[c]}" for c in (*by, time)] + [f"`{target}` double"])
@@ -137,7 +140,8 @@ def forecast_per_series(
         out[target] = model(history, history[value].to_numpy(float), future) if known else np.nan
         return out
 
-    return rows.select(*keep).groupBy(*by).applyInPandas(fit, schema)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.select(*keep).repartition(cores, *by).groupBy(*by).applyInPandas(fit, schema)
 
 
 def cross_validate(

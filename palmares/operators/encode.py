@@ -23,12 +23,7 @@ def _numbered(df: DataFrame, targets: Mapping[str, str], order: Sequence[str]) -
         .groupBy("_column", "_value")
         .agg(F.min("_order").alias("_first"))
     )
-    numbers = number_rows(values, ["_column", "_first", "_value"], "_number").drop("_first")
-    starts = numbers.groupBy("_column").agg(F.min("_number").alias("_start"))
-    numbers = stored(
-        numbers.join(starts, "_column").select("_column", "_value", (F.col("_number") - F.col("_start")).alias("_at")),
-        "numbers",
-    )
+    numbers = stored(number_rows(values, ["_first", "_value"], "_at", by=["_column"]).drop("_first"), "numbers")
     for column, target in targets.items():
         index = numbers.filter(F.col("_column") == column).select(F.col("_value").alias(column), F.col("_at").alias(target))
         df = df.join(index, column, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from palmares.store import stored
 
@@ -32,20 +32,21 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
-def number_rows(df: DataFrame, order: Sequence[str | Column], target: str) -> DataFrame:
-    """Row numbers from 0 in the order of the whole frame, without sorting it in one task.
+def number_rows(df: DataFrame, order: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
+    """Row numbers from 0 in the order of the whole frame, or of every group, without sorting it in one task.
 
     Rows are split by range and stored; each range is numbered alone and shifted by the rows of the ranges
-    before it. The offsets are one row per partition of the range split.
+    before it. There is one offset per range and group that meet.
     """
-    parts = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    spread = df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    parts = stored(spread, "ranges")
+    sizes = parts.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", *by, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    local = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
     return (
         parts.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_range")
+        .join(offsets, ["_range", *by])
         .withColumn(target, F.col("_offset") + F.col("_local") - 1)
         .drop("_range", "_offset", "_local")
     )
