@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palmares.catalog.registry import query
-from palmares.operators.aggregates import count_by
 from palmares.operators.quality import null_profile
 from palmares.plans.etl import split_games
 from palmares.plans.medals import medal_groups, medal_table, yearly_features

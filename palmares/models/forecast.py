@@ -9,10 +9,12 @@ all series, with the series as one-hot features.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -21,6 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from palmares.operators.metrics import mean_absolute_error
 from palmares.operators.sampling import time_folds
 
+# The functions of this module travel with the job, so the package need not be installed on the workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def autoregression(values: np.ndarray, steps: int, lags: int = 5, differences: int = 1) -> np.ndarray:
     """Forecast of an AR model without constant on the differenced series, fitted by least squares.

@@ -1,7 +1,11 @@
 """Sources and sinks, the preparation from files, forecasts on known series, and plan shape."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import compare
@@ -180,6 +184,13 @@ def test_tree_finds_the_best_split():
     assert grow_tree(x, np.full(4, 2.0), 3) == 2.0
 
 
+def test_models_reach_workers_without_the_package(tmp_path):
+    (tmp_path / "model").write_bytes(cloudpickle.dumps(ar_model(lags=1)))
+    code = "import pickle, numpy as np; m = pickle.load(open('model', 'rb')); print(m(None, np.array([1., 2., 3., 4.]), [0]))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "[5.]", done.stderr
+
+
 def test_forecast_and_validation_frames(spark):
     series = spark.createDataFrame([(g, 1980 + 2 * i, float(10 * i + (g == "b"))) for g in "ab" for i in range(14)], "g string, year int, v double")
     rows = history_with_future(series, horizon(series, "year", 3, 2, ["g"]))
