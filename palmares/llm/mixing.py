@@ -19,7 +19,7 @@ from palmares.store import stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK = 16
+BLOCK = 8
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -92,7 +92,7 @@ def quotas(targets: DataFrame, block: int = BLOCK, shards: int = 1, cap: int = C
 
 def plan(
     docs: DataFrame, keep: Sequence[str], seed: int = 23, weights: Sequence[int] = WEIGHTS, cap: int = CAP, block: int = BLOCK,
-    shards: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 50_000,
+    shards: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 10_000,
 ) -> DataFrame:
     """Every document as (row, size, source_size, target, begin, ends): the columns ``keep``, its words, its source's
     words and target, the place of its first word in its source's stream, and the words the source gives up to each shard.
