@@ -19,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-CHUNK_CHARS = 2 << 20
-MEMORY_WORDS = 200_000
+CHUNK_CHARS = 4 << 20
+MEMORY_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,67 +30,90 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merges:
-    """The vocabulary of a worker, and the ids of the words it has met last."""
+    """The vocabulary of a worker, and the ids (as bytes of int32) of the words it has met last."""
 
     def __init__(self, ranks: Mapping[bytes, int], pattern: str):
         self.ranks, self.words = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """The rank of two neighbours as one token; -1 without one."""
-        rank = self.merged.get((left, right))
-        if rank is None:
-            rank = self.merged[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
+        letters = [bytes([b]) for b in range(256)]
+        self.single = np.array([ranks[a] for a in letters], np.int32)
+        self.letter_pairs = np.array([ranks.get(a + b, -1) for a in letters for b in letters], np.int32)
+        self.known: dict[str, bytes] = {}
+        self.merged: dict[int, int] = {}
 
     def learn(self, words: Iterable[str]) -> None:
-        """Merge the given words together and remember their ids."""
-        pieces = [(word, word.encode()) for word in words]
-        token = [self.single[b] for b in chain.from_iterable(p for _, p in pieces)]
-        after, before, start, starts = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1)), 0, []
-        for _, piece in pieces:
-            starts.append(start)
-            before[start] = -1
-            start += len(piece)
-            after[start - 1] = -1
-        places: dict[int, list[int]] = {}
-        pair = self.pair
-        for at, then in enumerate(after):
-            if then >= 0 and (rank := pair(token[at], token[then])) >= 0:
-                places.setdefault(rank, []).append(at)
+        """Merge the given words together and remember their ids. A word that is a token is that token."""
+        pieces = []
+        for word in words:
+            piece = word.encode()
+            if (rank := self.ranks.get(piece)) is not None:
+                self.known[word] = np.int32(rank).tobytes()
+            else:
+                pieces.append((word, piece))
+        if not pieces:
+            return
+        flat = np.frombuffer(b"".join(piece for _, piece in pieces), np.uint8).astype(np.int32)
+        ends = np.cumsum([len(piece) for _, piece in pieces])
+        pairs = np.append(self.letter_pairs[flat[:-1] * 256 + flat[1:]], -1)
+        pairs[ends - 1] = -1
+        after, before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        after[ends - 1] = before[np.append(0, ends[:-1])] = -1
+        at_rank = np.argsort(pairs, kind="stable")[np.count_nonzero(pairs < 0):]
+        ranks, starts = np.unique(pairs[at_rank], return_index=True)
+        places = {rank: at.tolist() for rank, at in zip(ranks.tolist(), np.split(at_rank, starts[1:]))}
+        token = self._replay(self.single[flat].tolist(), pairs.tolist(), after.tolist(), before.tolist(), places)
+        left = np.array(token, np.int32)
+        alive = left >= 0
+        ids, cuts = left[alive].tobytes(), (4 * np.cumsum(alive)[ends - 1]).tolist()
+        start = 0
+        for (word, _), end in zip(pieces, cuts):
+            self.known[word] = ids[start:end]
+            start = end
+
+    def _replay(self, token: list, now: list, after: list, before: list, places: dict[int, list[int]]) -> list[int]:
+        """``token`` after all merges, -1 where a token was swallowed by the one before it.
+
+        ``now`` holds the rank of every position's pair with its neighbour ``after``, ``places`` the positions of a rank.
+        """
+        merged, ranks, tokens = self.merged, self.ranks, self.tokens
         order = list(places)
         heapify(order)
         while order:
             rank = heappop(order)
             for at in sorted(places.pop(rank)):
-                then = after[at]
-                if token[at] < 0 or then < 0 or pair(token[at], token[then]) != rank:
+                if now[at] != rank:
                     continue
-                token[at], token[then] = rank, -1
-                after[at] = behind = after[then]
+                then = after[at]
+                behind = after[at] = after[then]
+                token[at], token[then], now[at], now[then] = rank, -1, -1, -1
                 if behind >= 0:
                     before[behind] = at
                 for left, right in ((before[at], at), (at, behind)):
-                    if left >= 0 and right >= 0 and (new := pair(token[left], token[right])) >= 0:
-                        if new not in places:
-                            places[new] = []
-                            heappush(order, new)
+                    if left < 0 or right < 0:
+                        continue
+                    pair = token[left] << 32 | token[right]
+                    new = merged.get(pair)
+                    if new is None:
+                        new = merged[pair] = ranks.get(tokens[token[left]] + tokens[token[right]], -1)
+                    now[left] = new
+                    if new in places:
                         places[new].append(left)
-        for (word, piece), start in zip(pieces, starts):
-            self.known[word] = tuple(t for t in token[start:start + len(piece)] if t >= 0)
+                    elif new >= 0:
+                        places[new] = [left]
+                        heappush(order, new)
+        return token
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         split = [self.words.findall(text) for text in texts]
-        fresh = {word for words in split for word in words if word not in self.known}
+        met = set().union(*split)
+        fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > MEMORY_WORDS:
             self.known.clear()
             self.merged.clear()
-            fresh = {word for words in split for word in words}
+            fresh = met
         self.learn(fresh)
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32) for words in split]
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in split]
 
 
 @lru_cache(maxsize=2)
