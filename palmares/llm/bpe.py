@@ -19,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-CHUNK_CHARS = 4 << 20
-MEMORY_WORDS = 400_000
+CHUNK_CHARS = 2 << 20
+MEMORY_WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

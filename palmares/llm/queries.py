@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palmares.llm import bpe, exact, mixing, sharding
-from palmares.llm.common import ascii_lower, text_or_empty
+from palmares.llm import bpe, exact, kneser_ney, language, mixing, nearest, sharding, urls
+from palmares.llm.common import ascii_lower, small, text_or_empty
 from palmares.sources.files import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,40 @@ def token_digests(rows: DataFrame) -> DataFrame:
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.sha2(ascii_lower(text_or_empty("text")), 256)
     return exact.decisions(table(spark, folder, "documents"), carry={"text_sha256": digest})
+
+
+def bad_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, bad): the labels of the documents that the pages were made into."""
+    bad = F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
+    return table(spark, folder, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
+
+
+@query("op3_url_rules", urls.ORACLE)
+def url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.judged(table(spark, folder, "pages").select("page_id", "url"), bad_pages(spark, folder))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, quality_label): documents labelled good in quality and not toxic."""
+    good = (F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
+    return table(spark, folder, "labels").groupBy("doc_id").agg(good.alias("good")).filter("good")
+
+
+@query("op9_kneser_ney")
+def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    good = trusted_ids(spark, folder)
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text").join(small(good, good.count()), "doc_id", "left")
+    return kneser_ney.judged(docs, F.col("good"), ["doc_id", "lang"])
+
+
+@query("op10_rotated_codes")
+def rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"))
