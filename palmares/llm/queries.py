@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palmares.llm import bpe, exact, kneser_ney, language, mixing, nearest, sharding, urls
+from palmares.llm import bpe, exact, jaccard, kneser_ney, language, mixing, nearest, sharding, urls
 from palmares.llm.common import ascii_lower, small, text_or_empty
 from palmares.sources.files import table
 
@@ -57,6 +57,11 @@ def token_digests(rows: DataFrame) -> DataFrame:
     )
 
 
+@query("op7_jaccard_join")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(
     "op8_exact_dedup",
     """
