@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palmares.llm import bpe, exact, jaccard, kneser_ney, language, mixing, nearest, sharding, urls
+from palmares.llm import bpe, exact, jaccard, kneser_ney, language, mixing, nearest, sharding, substrings, urls
 from palmares.llm.common import ascii_lower, small, text_or_empty
 from palmares.sources.files import table
 
@@ -79,6 +79,16 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.decisions(table(spark, folder, "documents"), carry={"text_sha256": digest})
 
 
+@query("op2_repeated_substrings")
+def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"),
+        (F.octet_length(text_or_empty("text")) - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def bad_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, bad): the labels of the documents that the pages were made into."""
     bad = F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
