@@ -6,11 +6,11 @@ shingles: shingles are ordered from rare to common, and two sets whose similarit
 the first n - ceil(threshold * n) + 1 of each. The sets that hold a shingle there are a region, and a set lies in as
 many regions as it may have partners in.
 
-Within regions the join is metric and recursive. Every set of a region is compared with its pivot, the smallest set id.
-What is linked to the pivot is one class and needs no links among itself. If a region still holds several classes, the
-next pivot is taken from outside the class of the last one, and is compared only with sets of other classes whose distance
-to the first pivot differs by at most the largest linking distance: by the triangle inequality nothing else can link.
-Regions with few sets left are finished by comparing those of different classes.
+Within regions the join is metric. Every set of a region is compared with its pivot, the smallest set id, which gives its
+distance. What is linked to the pivot is one class and needs no links among itself. Regions that still hold several
+classes are joined once more: sets of different classes are compared if their sizes and their distances to the pivot
+differ by no more than linked sets can (the triangle inequality), large regions block by block. Parity sketches, whose
+Hamming distance never exceeds the size of the symmetric difference, spare the exact comparison of most other pairs.
 
 Equal sets are one set throughout, and set ids stand for documents until the end.
 """
@@ -34,7 +34,8 @@ PERCENT = 75
 COMMON, BINS = 24, 1 << 20
 #: Bits of the screen of set ids and shingles that a scan tests before anything is shuffled.
 SCREEN = 1 << 23
-FEW = 32
+#: Sets of a region that are paired by a join; larger regions go block by block.
+FEW, BLOCK = 64, 1024
 _DRAW = np.random.default_rng(20240229)
 _BYTE = _DRAW.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(int(x) | 1) for x in _DRAW.integers(1, 1 << 63, 64)]
@@ -89,6 +90,28 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> n
     return tokens[order[:first]]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each hash modulo a power of two, about twice the size of the set, the parity of the shingles that have it."""
+    bits = 1 << max(6, (2 * len(tokens)).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of the same sets for a smaller power of two."""
+    while rows.shape[-1] > width:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
+def may_link(a: bytes, b: bytes, sizes: int, percent: int) -> bool:
+    """False only if the symmetric difference is too large for a link of sets with so many shingles together."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    apart = int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum())
+    return apart * (100 + percent) <= sizes * (100 - percent)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -153,13 +176,15 @@ class Join:
                 first = [prefix(s, order, percent) if len(s) else s for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([f.tobytes() for f in first], pa.binary()),
-                ], names=["key", "set", "n", "prefix"])
+                    pa.array([f.tobytes() for f in first], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
+                ], names=["key", "set", "n", "prefix", "sketch"])
 
-        kind = f"key {rows.schema['key'].dataType.simpleString()}, set long, n long, prefix binary"
+        kind = f"key {rows.schema['key'].dataType.simpleString()}, set long, n long, prefix binary, sketch binary"
         self.sets = stored(rows.select("key", "text").mapInArrow(read, kind), "jaccard-sets")
         self.regions = self._regions()
-        self.members = self._members()
+        held = self.regions.select("set").distinct()
+        sketches = self.sets.select("set", "n", "sketch").join(held, "set", "left_semi").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        self.sketches = stored(sketches, "jaccard-sketches")
 
     def _regions(self) -> DataFrame:
         """(token, set, n): the sets that hold a shingle among their rarest, for shingles of two sets or more."""
@@ -188,9 +213,9 @@ class Join:
         several = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("token"), "jaccard-several")
         return stored(rows.join(several, "token"), "jaccard-regions")
 
-    def _members(self) -> DataFrame:
-        """(set, tokens) of every set that lies in a region, read again from the texts."""
-        wanted = stored(self.regions.select("set").distinct(), "jaccard-wanted")
+    def _held(self, pairs: DataFrame) -> DataFrame:
+        """(set, tokens) of the sets of some pairs, read again from the texts."""
+        wanted = stored(pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct(), "jaccard-wanted")
         screen, words = self.rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "set")), self.words
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +223,27 @@ class Join:
                 sets = {}
                 for text in batch.column(0).to_pylist():
                     tokens = shingles(text, words)
-                    sets[set_id(tokens)] = tokens
-                ids = np.array(list(sets), np.int64)
-                kept = np.flatnonzero(_passes(screen.value, ids)) if len(ids) else []
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[kept], pa.int64()), pa.array([sets[i].tobytes() for i in ids[kept].tolist()], pa.binary())
-                ], names=["set", "tokens"])
+                    name = set_id(tokens)
+                    if name not in sets and _passes(screen.value, np.array([name]))[0]:
+                        sets[name] = tokens.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["set", "tokens"])
 
         found = self.rows.select("text").mapInArrow(read, "set long, tokens binary")
         return stored(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens")), "jaccard-members")
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their sketches do not rule out."""
+        percent = self.percent
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = [may_link(x, y, n, percent) for x, y, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+        side = lambda name: self.sketches.select(F.col("set").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("n").alias(f"n_{name}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("sizes"))
+        return stored(both.mapInArrow(keep, "a long, b long"), "jaccard-near")
+
     def compared(self, pairs: DataFrame) -> DataFrame:
         """(a, b, far, linked) of pairs (a, b): the exact distance of the two sets."""
         percent = self.percent
@@ -223,46 +259,83 @@ class Join:
                     linked.append(100 * both >= percent * union)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked)], names=["a", "b", "far", "linked"])
 
-        left = self.members.select(F.col("set").alias("a"), F.col("tokens").alias("left"))
-        right = self.members.select(F.col("set").alias("b"), F.col("tokens").alias("right"))
+        members = self._held(pairs)
+        left = members.select(F.col("set").alias("a"), F.col("tokens").alias("left"))
+        right = members.select(F.col("set").alias("b"), F.col("tokens").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return stored(both.mapInArrow(compare, "a long, b long, far double, linked boolean"), "jaccard-compared")
 
     def links(self) -> DataFrame:
         """(a, b): linked pairs of different sets, enough of them to connect every class."""
-        reach = 1 - self.percent / 100 + 1e-9
-        fit = lambda a, b: _sizes_fit(F.col(a), F.col(b), self.percent)
-        pivots = stored(self.regions.groupBy("token").agg(F.min(F.struct("set", "n")).alias("first")).select("token", F.col("first.set").alias("pivot"), F.col("first.n").alias("pivot_n")), "jaccard-pivots")
-        placed = self.regions.join(pivots, "token").filter("set <> pivot")
-        stars = placed.filter(fit("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
-        found = self.compared(stored(stars, "jaccard-stars"))
+        pivots = self.regions.groupBy("token").agg(F.min(F.struct("set", "n")).alias("first"))
+        pivots = stored(pivots.select("token", F.col("first.set").alias("pivot"), F.col("first.n").alias("pivot_n")), "jaccard-pivots")
+        placed = self.regions.join(pivots, "token")
+        stars = placed.filter((F.col("set") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"), self.percent))
+        stars = stored(stars.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), "jaccard-stars")
+        found = self.compared(self.near(stars))
         links = found.filter("linked").select("a", "b")
-        # Sets whose sizes alone keep them from the first pivot have no distance to it and stay comparable to all.
+        roots = stored(smallest_reachable(links), "jaccard-roots").withColumnRenamed("node", "set")
+        # Sets that were not compared with the pivot have no distance to it and stay comparable to all.
         far = found.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "far")
-        left = stored(placed.join(far, ["pivot", "set"], "left").select("token", "set", "n", "far", F.col("pivot").alias("last")), "jaccard-open")
-        while True:
-            roots = stored(smallest_reachable(links), "jaccard-roots")
-            named = left.join(roots.select(F.col("node").alias("set"), F.col("root")), "set", "left").withColumn("class", F.coalesce("root", "set")).drop("root")
-            named = stored(named, "jaccard-named")
-            state = named.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-            state = stored(state.select("token", "many", "high"), "jaccard-state")
-            if state.isEmpty():
-                return links
-            open_ = named.join(state, "token")
-            x = open_.filter(F.col("many") <= FEW)
-            y = x.select("token", *[F.col(c).alias(f"{c}_y") for c in ("set", "n", "far", "class")])
-            near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= reach, F.lit(True))
-            few = x.join(y, "token").filter((F.col("set") < F.col("set_y")) & (F.col("class") != F.col("class_y")) & fit("n", "n_y") & near("far", "far_y"))
-            many = open_.filter(F.col("many") > FEW)
-            # The next pivot lies outside the class that the last one joined, if it joined one.
-            step = many.groupBy("token").agg(F.min(F.struct("set", "n", "far", "class")).alias("next"))
-            step = stored(step.select("token", *[F.col(f"next.{c}").alias(f"{c}_y") for c in ("set", "n", "far", "class")]), "jaccard-next")
-            star = many.join(step, "token").filter((F.col("set") != F.col("set_y")) & (F.col("class") != F.col("class_y")) & fit("n", "n_y") & near("far", "far_y"))
-            pairs = few.select(F.col("set").alias("a"), F.col("set_y").alias("b")).unionAll(star.select(F.col("set_y").alias("a"), F.col("set").alias("b")))
-            found = self.compared(stored(pairs.distinct(), "jaccard-pairs"))
-            links = stored(links.unionAll(found.filter("linked").select("a", "b")), "jaccard-links")
-            rest = many.join(step.select("token", F.col("set_y").alias("next")), "token").filter(F.col("set") != F.col("next"))
-            left = stored(rest.select("token", "set", "n", "far", F.col("next").alias("last")), "jaccard-open")
+        named = placed.join(roots, "set", "left").join(far, ["pivot", "set"], "left").select(
+            "token", "set", "n", F.when(F.col("set") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "set").alias("class")
+        )
+        named = stored(named, "jaccard-named")
+        state = named.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("class").alias("low"), F.max("class").alias("high"))
+        state = stored(state.filter("low <> high").select("token", "many"), "jaccard-state")
+        left = named.join(state, "token")
+        pairs = stored(self._few(left.filter(F.col("many") <= FEW)).unionAll(self._many(left.filter(F.col("many") > FEW))).distinct(), "jaccard-pairs")
+        pairs = pairs.join(stars, ["a", "b"], "left_anti")
+        more = self.compared(self.near(pairs)).filter("linked").select("a", "b")
+        return stored(links.unionAll(more), "jaccard-links")
+
+    def _few(self, left: DataFrame) -> DataFrame:
+        """Pairs of different classes that may link, in regions of at most ``FEW`` sets."""
+        reach = 1 - self.percent / 100 + 1e-9
+        other = left.select("token", *[F.col(c).alias(f"{c}_y") for c in ("set", "n", "far", "class")])
+        ring = F.coalesce(F.abs(F.col("far") - F.col("far_y")) <= reach, F.lit(True))
+        met = left.join(other, "token").filter((F.col("set") < F.col("set_y")) & (F.col("class") != F.col("class_y")))
+        return met.filter(ring & _sizes_fit(F.col("n"), F.col("n_y"), self.percent)).select(F.col("set").alias("a"), F.col("set_y").alias("b"))
+
+    def _many(self, left: DataFrame) -> DataFrame:
+        """The same in larger regions: every two blocks of a region are one task's group, which returns what its
+        sketches do not rule out."""
+        percent, reach = self.percent, 1 - self.percent / 100 + 1e-9
+        blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("set"), blocks).cast("int")
+        dealt = left.join(self.sketches.select("set", "sketch"), "set").withColumn("own", own)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+        def join_blocks(table: pa.Table) -> pa.Table:
+            ids, sizes, groups, own, i, j = (table.column(c).to_numpy() for c in ("set", "n", "class", "own", "i", "j"))
+            far = table.column("far").to_numpy(zero_copy_only=False)
+            sketches = table.column("sketch").to_pylist()
+            width = np.array([len(s) for s in sketches])
+            out = []
+            for w in np.unique(width):
+                left_at = np.flatnonzero(width == w)
+                right_at = np.flatnonzero((width == w) | (width == 2 * w))
+                a = np.stack([np.frombuffer(sketches[k], np.uint64) for k in left_at])
+                b = np.stack([_folded(np.frombuffer(sketches[k], np.uint64), w // 8) for k in right_at])
+                for start in range(0, len(a), 32):
+                    at = left_at[start:start + 32]
+                    size = sizes[at][:, None] + sizes[right_at]
+                    ring = ~(np.abs(far[at][:, None] - far[right_at]) > reach)
+                    # Of a block with itself, and of sketches of one width, each pair once.
+                    once = (ids[at][:, None] < ids[right_at]) | (width[right_at] > w)
+                    across = (own[at][:, None] != own[right_at]) | (i[0] == j[0])
+                    fit = np.minimum(sizes[at][:, None], sizes[right_at]) * 100 >= np.maximum(sizes[at][:, None], sizes[right_at]) * percent
+                    x, y = np.nonzero(ring & once & across & fit & (groups[at][:, None] != groups[right_at]))
+                    for k in range(0, len(x), 4096):
+                        xs, ys = x[k:k + 4096], y[k:k + 4096]
+                        apart = np.bitwise_count(a[start + xs] ^ b[ys]).sum(axis=1, dtype=np.int64)
+                        close = apart * (100 + percent) <= size[xs, ys] * (100 - percent)
+                        out.append(np.sort(np.stack([ids[at][xs[close]], ids[right_at][ys[close]]], axis=1), axis=1))
+            found = np.concatenate([*out, np.zeros((0, 2), np.int64)])
+            return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+        return dealt.groupBy("token", "i", "j").applyInArrow(join_blocks, "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
