@@ -7,19 +7,30 @@ Every stage takes (spark, docs, folder) and returns a frame that is written as P
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palmares.llm import bpe, exact, mixing
+from palmares.llm import bpe, exact, jaccard, language, mixing
 from palmares.llm.queries import RANKS, token_digests
 from palmares.sources.files import table
 from palmares.store import stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose text has a language; texts without a letter, and null ones, go."""
+    found = language.identified(docs, language.fit(docs))
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each text stays, the one with the largest doc_id."""
     return exact.deduplicated(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of linked documents stays, the one with the smallest doc_id."""
+    return jaccard.one_of_each_class(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents as the mix takes them: repeated, whole, or cut at the ends of a source's quota."""
     return mixing.mixed(docs, n_chars="n_chars").select(*docs.columns)
@@ -32,11 +43,14 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("source_mix", source_mix),
     ("byte_bpe", byte_bpe),
 ]
 
+#: Fitted machines, seeded places and merges have no SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
