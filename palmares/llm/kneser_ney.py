@@ -5,7 +5,7 @@ lower orders count the distinct left neighbours of an n-gram, and contexts are j
 discounted shares. The finished table is cut into shards by the character before the predicted one, so that each place
 in a text needs one shard only. Shards have a bounded number of rows and are sent to the tasks one after the other; each
 adds its part of every document's log-probability. Each language has a model, and a threshold: a quantile of the
-perplexities of its trusted documents.
+perplexities of trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from palmares.store import stored
 
 ORDER = 4
 QUANTILE = 0.995
+#: One trusted text in so many is kept from the model, and thresholds come from these.
+MEASURED = 4
 SHARD_ROWS = 4_000_000
 START, END = "\x02", "\x03"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -224,17 +226,19 @@ def judged(
     """The columns ``keep`` (all, unless named) with ``perplexity``, ``n_symbols``, the ``threshold`` of the language and
     ``kept``, which replace columns of these names.
 
-    ``trusted`` marks the rows the model is trained on. A language's threshold is the given quantile of its trusted
-    rows' perplexities; without trusted rows it has none, and its rows are kept. Null and empty texts are not kept. A
-    null language is a language of its own.
+    ``trusted`` marks the rows the model is trained on, but for a share of texts, by their hash, that it never sees. A
+    language's threshold is the given quantile of the perplexities of that share; without any it has none, and its rows
+    are kept. Null and empty texts are not kept. A null language is a language of its own.
     """
     marked = docs.select(
         packed(keep or docs.columns).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
         F.coalesce(trusted, F.lit(False)).alias("trusted"),
     )
-    table = model(marked.filter("trusted"), order)
+    unseen = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(MEASURED)) == 0
+    marked = marked.withColumn("measured", F.col("trusted") & unseen)
+    table = model(marked.filter("trusted AND NOT measured"), order)
     rows = stored(scored(marked, table, order, shard_rows=shard_rows).drop("text"), "kn-scored")
-    limits = rows.filter("trusted").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = rows.filter("measured").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     out = rows.join(stored(limits, "kn-limits"), F.col("lang").eqNullSafe(F.col("of")), "left")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return unpacked(out.withColumn("kept", kept), "row", ["perplexity", "n_symbols", "threshold", "kept"])
