@@ -32,4 +32,4 @@ def prepare_table(
     rows = prepare(spark.table(f"{database}.{source}"), read_lookup_csv(spark, lookup_csv), names, default)
     overwrite_table(rows, f"{database}.{target}", ["century"])
     if export_path:
-        export_csv(spark.table(f"{database}.{target}"), export_path)
+        export_csv(spark.table(f"{database}.{target}"), export_path, "overwrite")

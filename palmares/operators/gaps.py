@@ -13,8 +13,8 @@ from palmares.schemas import SAME_YEAR
 
 
 def with_group_count(df: DataFrame, key: str, target: str) -> DataFrame:
-    """The number of rows of the key on each of its rows."""
-    return attach(df, df.groupBy(key).agg(F.count(F.lit(1)).alias(target)), key, "inner")
+    """The number of rows of the key on each of its rows; rows without a key are counted together."""
+    return attach(df, df.groupBy(key).agg(F.count(F.lit(1)).alias(target)), key, "inner", nulls=True)
 
 
 def year_steps(df: DataFrame, key: str, year: str = "year") -> DataFrame:

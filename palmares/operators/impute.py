@@ -21,9 +21,9 @@ def with_group_mean(df: DataFrame, column: str, by: Sequence[str], target: str,
 
 
 def fill_with_group_mean(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
-    """Replace nulls of the columns by the mean of the group; a group without values stays null."""
+    """Replace nulls of the columns by the mean of the group, null being one; a group without values stays null."""
     means = df.groupBy(by).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    out = attach(df, means, by)
+    out = attach(df, means, by, nulls=True)
     filled = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in columns}
     return out.withColumns(filled).drop(*[f"_mean_{c}" for c in columns]).select(*df.columns)
 

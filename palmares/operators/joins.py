@@ -14,13 +14,19 @@ from palmares.functions.bins import label_bounds
 from palmares.store import stored
 
 
-def attach(df: DataFrame, values: DataFrame, on: Sequence[str] | str, how: str = "left") -> DataFrame:
-    """Join per-group values back to the rows of the groups.
+def attach(df: DataFrame, values: DataFrame, on: Sequence[str] | str, how: str = "left", nulls: bool = False) -> DataFrame:
+    """Join per-group values back to the rows of the groups; with ``nulls`` a null key is a group like any other.
 
     The values are stored first, which computes the aggregate once and fixes its size, so the rows are
     shuffled only when the values are too large to broadcast.
     """
-    return df.join(stored(values, "attach"), on, how)
+    values = stored(values, "attach")
+    if not nulls:
+        return df.join(values, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    values = values.withColumnsRenamed({k: f"_attach_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_attach_{k}")) for k in keys]
+    return df.join(values, same, how).drop(*[f"_attach_{k}" for k in keys])
 
 
 def lookup(

@@ -13,11 +13,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_fact_csv(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
-    """The fact file: header row, declared types, ``NA`` and empty cells become null."""
-    frame = spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+def read_fact_csv(spark: SparkSession, path: str, schema: T.StructType = RAW, strict: bool = False) -> DataFrame:
+    """The fact file: header row, declared types, ``NA`` and empty cells become null.
+
+    Columns are taken by their names in the header, in any order; a missing one raises. Quotes inside a quoted cell are
+    doubled. A cell that is not of its type becomes null, or raises with ``strict``.
+    """
+    plain = spark.read.option("header", True).option("escape", '"')
+    declared = {f.name.lower(): f for f in schema.fields}
+    found = plain.csv(path).columns
+    if missing := [f.name for f in schema.fields if f.name.lower() not in {c.lower() for c in found}]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    own = T.StructType([declared.get(c.lower(), T.StructField(c, T.StringType())) for c in found])
+    frame = plain.schema(own).option("nullValue", "NA").option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
     strings = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    return frame.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in strings})
+    return frame.select(*schema.names).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in strings})
 
 
 def clean_lookup(lookup: DataFrame, key: str = "ioc", value: str = "continent", blank: str = "NA") -> DataFrame:
@@ -38,4 +48,4 @@ def read_lookup_csv(spark: SparkSession, path: str, schema: T.StructType = LOOKU
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header, one file per partition; nulls as ``NA`` so that the fact reader restores them."""
-    df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", "NA").csv(path)
