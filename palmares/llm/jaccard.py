@@ -4,7 +4,7 @@ Jaccard distance (1 - similarity) is a metric, but documents that share no shing
 Regions around a few pivots would therefore hold copies of nearly all documents. So the first partition is by shared
 shingles: shingles are ordered from rare to common, and two sets whose similarity reaches the threshold share one of
 the first n - ceil(threshold * n) + 1 of each. The sets that hold a shingle there are a region, and a set lies in as
-many regions as it may have partners in.
+many regions as it may have partners in. Regions inside a larger one are left out.
 
 Within regions the join is metric. Every set of a region is compared with its pivot, the smallest set id, which gives its
 distance. What is linked to the pivot is one class and needs no links among itself. Regions that still hold several
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palmares.llm.common import packed, unpacked
 from palmares.llm.components import smallest_reachable
@@ -187,7 +187,11 @@ class Join:
         self.sketches = stored(sketches, "jaccard-sketches")
 
     def _regions(self) -> DataFrame:
-        """(token, set, n): the sets that hold a shingle among their rarest, for shingles of two sets or more."""
+        """(token, set, n): the sets that hold a shingle among their rarest, for shingles of two sets or more.
+
+        Edited copies share most of their rarest shingles, so most regions lie inside a larger one of the same sets. That
+        one returns all pairs of both, and the inner region is left out.
+        """
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -210,8 +214,13 @@ class Join:
 
         rows = self.sets.select("set", "n", "prefix").mapInArrow(entries, "token long, set long, n long").distinct()
         rows = stored(rows, "jaccard-entries")
-        several = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("token"), "jaccard-several")
-        return stored(rows.join(several, "token"), "jaccard-regions")
+        several = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "jaccard-several")
+        # A region whose sets all have one and the same other region as their largest lies inside that one.
+        largest = F.max(F.struct("many", "token")).over(Window.partitionBy("set"))["token"]
+        placed = stored(rows.join(several, "token").select("token", "set", "n", largest.alias("largest")), "jaccard-placed")
+        span = placed.groupBy("token").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+        outer = stored(span.filter("low <> high OR low = token").select("token"), "jaccard-outer")
+        return stored(placed.drop("largest").join(outer, "token", "left_semi"), "jaccard-regions")
 
     def _held(self, pairs: DataFrame) -> DataFrame:
         """(set, tokens) of the sets of some pairs, read again from the texts."""
