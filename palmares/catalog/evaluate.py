@@ -39,7 +39,9 @@ FOLDS_SQL = (
 )
 
 
-@query("ml03_time_folds", "SELECT sport, year, y, fold, role FROM folds WHERE role IS NOT NULL", *FOLDS_SQL)
+@query("ml03_time_folds", """
+SELECT sport, year, y, fold, role FROM folds WHERE role IS NOT NULL
+UNION ALL SELECT sport, year, y, NULL, 'too_short' FROM yearly WHERE n < 6""", *FOLDS_SQL)
 def folds(spark: SparkSession, folder: str) -> DataFrame:
     yearly = count_by(participation(spark, folder), ["sport", "year"], target="y")
     return time_folds(yearly, "year", by=["sport"])

@@ -115,7 +115,7 @@ def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_classifier(rows, tree(), TREE_INPUTS)
     save_model(model, path)
     again = score(load_model(path), score(model, rows).withColumnRenamed("predicted", "before").drop("actual_name", "predicted_name"))
-    return again.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("predicted")).alias("n_same"))
+    return again.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before").eqNullSafe(F.col("predicted"))).alias("n_same"))
 
 
 @query("ml16_per_series_validation")

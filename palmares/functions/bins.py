@@ -58,10 +58,13 @@ def decade_bin(column: str = "age") -> Column:
 
 
 def equal_width_edges(df: DataFrame, column: str, bins: int = 8, digits: int = 2) -> DataFrame:
-    """One row: the ``bins + 1`` rounded edges between the smallest and the largest value."""
+    """One row: the ``bins + 1`` rounded edges; the outer ones are rounded outwards, so that every value lies between."""
     lo, hi = F.min(column), F.max(column)
-    inner = [lo + (hi - lo) / bins * i for i in range(bins)]
-    return df.agg(F.array(*[round_even(e, digits) for e in (*inner, hi)]).alias("edges"))
+    inner = [round_even(lo + (hi - lo) / bins * i, digits) for i in range(1, bins)]
+    first, last, unit = round_even(lo, digits), round_even(hi, digits), 10.0**-digits
+    first = F.when(first > lo, round_even(first - unit, digits)).otherwise(first)
+    last = F.when(last < hi, round_even(last + unit, digits)).otherwise(last)
+    return df.agg(F.array(first, *inner, last).alias("edges"))
 
 
 def equal_width_bins(

@@ -46,7 +46,16 @@ def round_even(column: Column, digits: int) -> Column:
     return F.rint(column * scale) / scale
 
 
-def salted_hash(columns: list[str], seed: int) -> Column:
+def stable_mean(column: str | Column) -> Column:
+    """The mean to twelve decimals, summed as decimals so that no order of the rows changes a bit; NaN counts as missing.
+
+    Values must be below 1e12.
+    """
+    value = F.col(column) if isinstance(column, str) else column
+    return F.avg(value.try_cast("decimal(24,12)")).cast("double")
+
+
+def salted_hash(columns: list[str | Column], seed: int) -> Column:
     """A 60-bit hash of a row key and a seed, from MD5, so that any engine can repeat it."""
-    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    key = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")

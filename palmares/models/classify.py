@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -23,8 +25,10 @@ def labelled_profiles(groups: DataFrame) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, classifier, inputs: Sequence[str]) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, classifier.copy().setFeaturesCol("features").setLabelCol("actual")]).fit(train)
+    """Train on the rows whose inputs are complete; the model passes incomplete rows on for ``score``."""
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep")
+    stages = [assembler, classifier.copy().setFeaturesCol("features").setLabelCol("actual")]
+    return Pipeline(stages=stages).fit(train.na.drop(subset=list(inputs)))
 
 
 def forest(trees: int = 100, seed: int = 42) -> RandomForestClassifier:
@@ -36,11 +40,16 @@ def tree(seed: int = 42) -> DecisionTreeClassifier:
 
 
 def score(model: PipelineModel, profiles: DataFrame) -> DataFrame:
-    """The input columns with the ``predicted`` 0/1 class and the names of both classes."""
-    scored = model.transform(profiles).withColumn("predicted", F.col("prediction").cast("int"))
+    """The input columns with the ``predicted`` 0/1 class and the names of both classes.
+
+    Every row stays; one with a missing input has a null prediction.
+    """
+    numbers = [F.col(c).cast("double") for c in model.stages[0].getInputCols()]
+    complete = reduce(and_, [x.isNotNull() & ~F.isnan(x) for x in numbers])
+    scored = model.transform(profiles).withColumn("predicted", F.when(complete, F.col("prediction").cast("int")))
     return scored.select(
         *profiles.columns,
         "predicted",
         unflag("actual", "Medal", NO_MEDAL).alias("actual_name"),
-        unflag("predicted", "Medal", NO_MEDAL).alias("predicted_name"),
+        F.when(F.col("predicted").isNotNull(), unflag("predicted", "Medal", NO_MEDAL)).alias("predicted_name"),
     )

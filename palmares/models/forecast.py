@@ -152,12 +152,18 @@ def forecast_per_series(
 def cross_validate(
     series: DataFrame, by: Sequence[str], time: str, value: str, model: Model, folds: int = 5
 ) -> DataFrame:
-    """Mean absolute error per expanding-window fold of every series."""
+    """Mean absolute error per expanding-window fold of every series, ``status`` being ``ok``.
+
+    A series too short for the folds has one row without fold and error and the status ``too_short``.
+    """
     kind = F.when(F.col("role") == "train", F.lit("history")).otherwise(F.lit("forecast"))
-    rows = time_folds(series.select(*by, time, value), time, folds, by).withColumn("kind", kind)
+    every = time_folds(series.select(*by, time, value), time, folds, by)
+    rows = every.filter(F.col("fold").isNotNull()).withColumn("kind", kind)
     predicted = forecast_per_series(rows, [*by, "fold"], time, value, model)
     tested = rows.filter(F.col("role") == "test").join(predicted, [*by, "fold", time])
-    return mean_absolute_error(tested, value, "yhat", [*by, "fold"])
+    errors = mean_absolute_error(tested, value, "yhat", [*by, "fold"]).withColumn("status", F.lit("ok"))
+    short = every.filter(F.col("role") == "too_short").select(*by, F.col("role").alias("status")).distinct()
+    return errors.unionByName(short, allowMissingColumns=True)
 
 
 def random_forest(trees: int = 500, seed: int = 42) -> RandomForestRegressor:

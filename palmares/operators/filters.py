@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType
 
 from palmares.schemas import PREDECESSORS
 
@@ -15,6 +15,19 @@ def member(column: str, values: Sequence[object]) -> Column:
     return F.col(column).cast("string").isin([str(v) for v in values])
 
 
+def _numbers(values: Sequence[object]) -> list[int | float]:
+    """The values as numbers, so that the column is compared as it is and the filter reaches the scan; other text matches
+    nothing."""
+    found = []
+    for value in values:
+        try:
+            number = float(value)
+        except (TypeError, ValueError):
+            continue
+        found.append(int(number) if number.is_integer() else number)
+    return found
+
+
 def apply_filters(
     df: DataFrame, chosen: Mapping[str, Sequence[object]], defaults: Mapping[str, Sequence[object]] | None = None
 ) -> DataFrame:
@@ -26,8 +39,8 @@ def apply_filters(
     for column in dict.fromkeys([*chosen, *defaults]):
         values = chosen.get(column) or defaults.get(column)
         if values:
-            numbers = df.schema[column].dataType != StringType() and not any(isinstance(v, str) for v in values)
-            df = df.filter(F.col(column).isin(list(values)) if numbers else member(column, values))
+            numeric = isinstance(df.schema[column].dataType, NumericType)
+            df = df.filter(F.col(column).isin(_numbers(values)) if numeric else member(column, values))
     return df
 
 

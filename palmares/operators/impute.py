@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from palmares.functions.scalar import stable_mean
 from palmares.operators.joins import attach
 from palmares.store import stored
 
 
 def group_mean(df: DataFrame, column: str, by: Sequence[str], target: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(column).alias(target))
+    return df.groupBy(*by).agg(stable_mean(column).alias(target))
 
 
 def with_group_mean(df: DataFrame, column: str, by: Sequence[str], target: str, digits: int | None = None) -> DataFrame:
@@ -22,7 +23,7 @@ def with_group_mean(df: DataFrame, column: str, by: Sequence[str], target: str,
 
 def fill_with_group_mean(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     """Replace nulls of the columns by the mean of the group, null being one; a group without values stays null."""
-    means = df.groupBy(by).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    means = df.groupBy(by).agg(*[stable_mean(c).alias(f"_mean_{c}") for c in columns])
     out = attach(df, means, by, nulls=True)
     filled = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in columns}
     return out.withColumns(filled).drop(*[f"_mean_{c}" for c in columns]).select(*df.columns)
@@ -35,13 +36,15 @@ def fill_body_measures(
 
     The mean of the last step is taken over weights that the second step has already filled. All three means
     depend on the counts of (group, height, weight) only: these are counted in one pass over the rows, and the
-    rows meet one join with the values that belong to (group, height). Rows still incomplete are dropped.
+    rows meet one join with the values that belong to (group, height). Sums are decimal, so neither the partitioning nor
+    the order of the rows changes a bit of the result. Rows still incomplete are dropped.
     """
     cells = stored(df.groupBy(by, height, weight).agg(F.count(F.lit(1)).alias("n")), "cells")
 
     def mean(value: str):
-        known = F.when(F.col(value).isNotNull(), F.col("n"))
-        return F.try_divide(F.sum(F.col(value) * F.col("n")), F.sum(known))
+        exact = F.col(value).try_cast("decimal(24,12)")
+        total = F.sum(exact * F.col("n").cast("decimal(13,0)"))
+        return F.try_divide(total.cast("double"), F.sum(F.when(exact.isNotNull(), F.col("n"))))
 
     heights = cells.groupBy(by).agg(mean(height).alias("_mean_height"))
     cells = cells.join(heights, by, "left").withColumn("_height", F.coalesce(F.col(height), F.col("_mean_height")))

@@ -54,12 +54,15 @@ def match_listed(df: DataFrame, keys: DataFrame, on: Sequence[str] | str) -> Dat
 def range_label(df: DataFrame, value: str | Column, labels: DataFrame, label: str, target: str) -> DataFrame:
     """First ``lo-hi`` label, in label order, whose closed integer range holds the floor of the value, else null.
 
+    A label that is not such a range raises; null labels are passed over.
+
     The ranges are spread over their integers, which turns the range condition into an equality.
     """
     lo, hi = label_bounds(F.col(label))
     spread = (
         labels.select(F.col(label).alias("_label"), lo.alias("_lo"), hi.alias("_hi"))
-        .filter(F.col("_lo") <= F.col("_hi"))
+        .filter(F.col("_label").isNotNull())
+        .filter(F.when(F.col("_lo") <= F.col("_hi"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not a range: "), "_label")).cast("boolean")))
         .select("_label", "_lo", F.explode(F.sequence("_lo", "_hi")).alias("_at"))
         .groupBy("_at")
         .agg(F.min_by("_label", "_lo").alias(target))

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import FractionalType
 
 from palmares.functions.scalar import salted_hash
 
 
+def _hashed(df: DataFrame, keys: Sequence[str], seed: int) -> Column:
+    """The hash of the key. Fractions count to six decimals, so that a last bit moves no row."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return salted_hash([F.col(k).try_cast("decimal(24,6)") if isinstance(kinds[k], FractionalType) else F.col(k) for k in keys], seed)
+
+
 def split(df: DataFrame, keys: Sequence[str], train_pct: int, seed: int = 42, target: str = "part") -> DataFrame:
     """Mark every row ``train`` or ``test`` by a hash of its key: the same key always falls on the same side."""
-    train = salted_hash(list(keys), seed) % 100 < train_pct
+    train = _hashed(df, keys, seed) % 100 < train_pct
     return df.withColumn(target, F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
@@ -20,7 +27,7 @@ def exact_sample(df: DataFrame, keys: Sequence[str], pct: int, seed: int = 42, b
 
     Hash buckets below the boundary are taken whole; only the one bucket that the boundary cuts is ordered.
     """
-    hashed = df.withColumn("_hash", salted_hash(list(keys), seed))
+    hashed = df.withColumn("_hash", _hashed(df, keys, seed))
     hashed = hashed.withColumn("_bucket", F.col("_hash") % buckets)
     sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -41,7 +48,8 @@ def time_folds(series: DataFrame, time: str, folds: int = 5, by: Sequence[str] =
     """Expanding-window folds of a series with one row per ``time``.
 
     The last ``folds`` blocks of ``n // (folds + 1)`` rows are the test parts in turn; all rows before a block
-    train it. A series with fewer than ``folds + 1`` rows has no folds. The series is short: one row per period.
+    train it. The rows of a series with fewer than ``folds + 1`` have a null fold and the role ``too_short``. One row per
+    period is expected, so that the window of one series is short.
     """
     ordered = Window.partitionBy(*by).orderBy(time)
     numbered = series.withColumns({
@@ -49,7 +57,8 @@ def time_folds(series: DataFrame, time: str, folds: int = 5, by: Sequence[str] =
         "_n": F.count(F.lit(1)).over(Window.partitionBy(*by)),
     })
     size = F.floor(F.col("_n") / (folds + 1)).cast("int")
-    spread = numbered.filter(F.col("_n") >= folds + 1).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    every = F.when(F.col("_n") > folds, F.sequence(F.lit(1), F.lit(folds)))
+    spread = numbered.withColumn("fold", F.explode_outer(every))
     start = F.col("_n") - (folds + 1 - F.col("fold")) * size
-    role = F.when(F.col("_at") < start, F.lit("train")).when(F.col("_at") < start + size, F.lit("test"))
+    role = F.when(F.col("fold").isNull(), F.lit("too_short")).when(F.col("_at") < start, F.lit("train")).when(F.col("_at") < start + size, F.lit("test"))
     return spread.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_at", "_n")

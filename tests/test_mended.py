@@ -1,9 +1,17 @@
-"""Ordinary CSV files, and groups whose key is null."""
+"""Ordinary CSV files, rows that must not vanish, and results that must not depend on the partitions."""
 
+import random
+
+from palmares.functions.bins import equal_width_bins
+from palmares.models.classify import fit_classifier, score, tree
+from palmares.models.forecast import ar_model, cross_validate
+from palmares.operators.filters import apply_filters
 from palmares.operators.gaps import with_group_count
-from palmares.operators.impute import fill_with_group_mean
+from palmares.operators.impute import fill_body_measures, fill_with_group_mean
+from palmares.operators.joins import range_label
+from palmares.operators.sampling import split, time_folds
 from palmares.sources.files import export_csv, read_fact_csv
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 import pytest
 
@@ -32,3 +40,58 @@ def test_null_keys_are_a_group(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", None), (None, 4.0), (None, None)], "k string, v double")
     assert sorted(r["n"] for r in with_group_count(rows, "k", "n").collect()) == [2, 2, 2, 2]
     assert sorted((str(r["k"]), r["v"]) for r in fill_with_group_mean(rows, ["v"], "k").collect()) == [("None", 4.0), ("None", 4.0), ("a", 1.0), ("a", 1.0)]
+
+
+def test_short_series_are_reported(spark):
+    rows = spark.createDataFrame([("a", y, float(y)) for y in range(12)] + [("b", 1, 1.0), ("b", 2, 2.0)], "s string, t int, v double")
+    folds = time_folds(rows, "t", 5, ["s"])
+    assert sorted((r["t"], r["fold"], r["role"]) for r in folds.filter("s = 'b'").collect()) == [(1, None, "too_short"), (2, None, "too_short")]
+    assert folds.filter("s = 'a' AND role = 'test'").count() == 10
+    errors = cross_validate(rows, ["s"], "t", "v", ar_model(1)).collect()
+    assert [(r["fold"], r["mae"], r["status"]) for r in errors if r["s"] == "b"] == [(None, None, "too_short")]
+    assert sorted(r["fold"] for r in errors if r["s"] == "a" and r["status"] == "ok") == [1, 2, 3, 4, 5]
+
+
+def test_outer_edges_hold_every_value(spark):
+    rows = spark.range(101).select((F.col("id") / 1000 + 0.007).alias("x"))
+    assert equal_width_bins(rows, "x", "bin", labelled=8).count() == 101
+
+
+def test_malformed_ranges_raise(spark):
+    values = spark.createDataFrame([(19.2,)], "x double")
+    labels = spark.createDataFrame([("18-20",), (None,)], "label string")
+    assert range_label(values, "x", labels, "label", "found").first()["found"] == "18-20"
+    with pytest.raises(Exception, match="not a range"):
+        range_label(values, "x", labels.unionAll(spark.createDataFrame([("18.51-20.56",)], "label string")), "label", "found").collect()
+
+
+def test_text_values_on_number_columns(spark, tmp_path):
+    spark.createDataFrame([(24.0, 1995), (25.5, 1996), (None, 1995)], "age double, year int").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert [r["age"] for r in apply_filters(rows, {"age": ["24", "none"]}).collect()] == [24.0]
+    assert [r["age"] for r in apply_filters(rows, {"age": ["25.5"]}).collect()] == [25.5]
+    assert apply_filters(rows, {"age": ["none"]}).count() == 0
+    chosen = apply_filters(rows, {"year": ["1995"]})
+    assert chosen.count() == 2 and "year,1995" in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoring_keeps_incomplete_rows(spark):
+    rows = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "x double, actual int")
+    model = fit_classifier(rows, tree(), ["x"])
+    scored = score(model, rows.unionAll(spark.createDataFrame([(None, 1), (float("nan"), 0)], rows.schema))).collect()
+    assert len(scored) == 22 and sum(r["predicted"] is None and r["predicted_name"] is None for r in scored) == 2
+
+
+def test_imputation_and_splits_do_not_depend_on_partitions(spark):
+    draw = random.Random(5)
+    some = lambda lo, hi: None if draw.random() < 0.3 else draw.uniform(lo, hi)
+    rows = spark.createDataFrame([(i, f"s{i % 3}", some(150, 200), some(50, 99)) for i in range(3000)], "id int, sport string, height double, weight double")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            filled = fill_body_measures(rows.repartition(n))
+            found.append(sorted(map(tuple, split(filled, ["sport", "height", "weight"], 80).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3000
