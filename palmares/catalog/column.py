@@ -361,10 +361,10 @@ def equal_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fn15_first_seen_index", """
 SELECT sport, row_number() OVER (ORDER BY y, e, sport) - 1 AS sport_at
-FROM (SELECT sport, min(year) AS y, min_by(event, (year, event)) AS e FROM rv WHERE medal = 'Gold' GROUP BY sport)""")
+FROM (SELECT sport, min(year) AS y, min_by(event, (year, event)) AS e FROM rv GROUP BY sport)""")
 def first_seen(spark: SparkSession, folder: str) -> DataFrame:
-    golds = participation(spark, folder).filter(F.col("medal") == "Gold").select("sport", "year", "event")
-    return first_seen_index(golds, {"sport": "sport_at"}, ["year", "event"]).select("sport", "sport_at").distinct()
+    rows = participation(spark, folder).select("sport", "year", "event")
+    return first_seen_index(rows, {"sport": "sport_at"}, ["year", "event"]).select("sport", "sport_at").distinct()
 
 
 @query("fn16_century", """

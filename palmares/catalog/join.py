@@ -73,12 +73,12 @@ def sports_per_athlete(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("jn06_left_scalar", """
 SELECT continent, count(*) AS n, CAST(sum(coalesce(other_count, 0)) AS BIGINT) AS others FROM rv LEFT JOIN (
-  SELECT name, count(*) AS other_count FROM rv WHERE medal = 'Bronze' GROUP BY name) USING (name)
+  SELECT name, count(*) AS other_count FROM rv WHERE medal <> 'Gold' GROUP BY name) USING (name)
 WHERE medal = 'Gold' GROUP BY continent""")
-def golds_with_bronzes(spark: SparkSession, folder: str) -> DataFrame:
+def golds_with_others(spark: SparkSession, folder: str) -> DataFrame:
     rows = participation(spark, folder)
-    bronzes = count_by(rows.filter(F.col("medal") == "Bronze"), ["name"], target="other_count")
-    golds = attach(rows.filter(F.col("medal") == "Gold"), bronzes, "name").fillna(0, ["other_count"])
+    others = count_by(rows.filter(F.col("medal") != "Gold"), ["name"], target="other_count")
+    golds = attach(rows.filter(F.col("medal") == "Gold"), others, "name").fillna(0, ["other_count"])
     return golds.groupBy("continent").agg(F.count(F.lit(1)).alias("n"), F.sum("other_count").alias("others"))
 
 
@@ -106,10 +106,10 @@ TYPICAL_SQL = """typical AS (SELECT sport, sex, age_bin, CASE WHEN g >= s AND g
 
 @query("jn09_composite_left", """
 SELECT sport, sex, age_bin, n, typical_medal FROM (SELECT sport, sex, age_bin, count(*) AS n FROM rv GROUP BY ALL)
-LEFT JOIN (SELECT * FROM typical WHERE typical_medal <> 'Bronze') USING (sport, sex, age_bin)""", TYPICAL_SQL)
+LEFT JOIN typical USING (sport, sex, age_bin)""", TYPICAL_SQL)
 def with_typical(spark: SparkSession, folder: str) -> DataFrame:
     rows, keys = participation(spark, folder), ["sport", "sex", "age_bin"]
-    typical = typical_category(rows.filter(won()), keys).filter(F.col("typical_medal") != "Bronze")
+    typical = typical_category(rows.filter(won()), keys)
     return count_by(rows, keys).join(typical, keys, "left")
 
 
@@ -153,12 +153,12 @@ def actual_and_shifted(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("jn14_range_lookup", """
 SELECT sport, season, mean_age, min_by(age_bin, lo) AS age_bin FROM (SELECT sport, season, avg(age) AS mean_age FROM rv GROUP BY ALL)
-LEFT JOIN (SELECT DISTINCT age_bin, CAST(split_part(age_bin, '-', 1) AS INT) AS lo, CAST(split_part(age_bin, '-', 2) AS INT) AS hi FROM rv WHERE age < 30)
+LEFT JOIN (SELECT DISTINCT age_bin, CAST(split_part(age_bin, '-', 1) AS INT) AS lo, CAST(split_part(age_bin, '-', 2) AS INT) AS hi FROM rv)
 ON floor(mean_age) BETWEEN lo AND hi GROUP BY ALL""")
 def range_lookup(spark: SparkSession, folder: str) -> DataFrame:
     rows = participation(spark, folder)
     means = rows.groupBy("sport", "season").agg(F.avg("age").alias("mean_age"))
-    labels = rows.filter(F.col("age") < 30).select("age_bin").distinct()
+    labels = rows.select("age_bin").distinct()
     return range_label(means, "mean_age", labels, "age_bin", "age_bin")
 
 

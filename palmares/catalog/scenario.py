@@ -297,9 +297,9 @@ def winner_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("q4e_winner_map", """
 SELECT n_name, n_age, n_medal FROM nation LEFT JOIN (
-  SELECT noc, count(age) AS n_age, count(medal) AS n_medal FROM winners WHERE noc <> 'NATION_13' GROUP BY noc) ON n_name = noc""", *winners_sql("city"))
+  SELECT noc, count(age) AS n_age, count(medal) AS n_medal FROM winners GROUP BY noc) ON n_name = noc""", *winners_sql("city"))
 def winner_map(spark: SparkSession, folder: str) -> DataFrame:
-    counts = non_null_counts(city_winners(spark, folder).filter(F.col("noc") != "NATION_13"), ["age", "medal"], ["noc"])
+    counts = non_null_counts(city_winners(spark, folder), ["age", "medal"], ["noc"])
     regions = table(spark, folder, "nation").select("n_name")
     return regions.join(counts, F.col("n_name") == F.col("noc"), "left").drop("noc")
 

@@ -59,9 +59,9 @@ def test_outer_edges_hold_every_value(spark):
 
 def test_malformed_ranges_raise(spark):
     values = spark.createDataFrame([(19.2,)], "x double")
-    labels = spark.createDataFrame([("18-20",), (None,)], "label string")
+    labels = spark.createDataFrame([("18-20",), (None,), ("x",)], "label string")
     assert range_label(values, "x", labels, "label", "found").first()["found"] == "18-20"
-    with pytest.raises(Exception, match="not a range"):
+    with pytest.raises(Exception, match="not a range of integers"):
         range_label(values, "x", labels.unionAll(spark.createDataFrame([("18.51-20.56",)], "label string")), "label", "found").collect()
 
 
