@@ -150,7 +150,8 @@ def age_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     forest_part = pooled_forecast(train, ahead, ["sex"], ["year"], "mean_age", random_forest(100))
     yearly = ages.groupBy("sex", "year").agg(F.avg("mean_age").alias("mean_age"))
     ar = forecast_per_series(history_with_future(yearly, ahead), ["sex"], "year", "mean_age", ar_model())
-    return forest_part.withColumn("model", F.lit("random forest")).unionByName(ar.withColumn("model", F.lit("autoregression")))
+    forest_part = forest_part.withColumns({"model": F.lit("random forest"), "status": F.lit("ok")})
+    return forest_part.unionByName(ar.withColumn("model", F.lit("autoregression")))
 
 
 @query("q3d_medal_classifier")
@@ -180,4 +181,4 @@ def achievement_forecast(spark: SparkSession, folder: str) -> DataFrame:
         error = cross_validate(series, ["cohort"], "year", "y", model).groupBy("cohort").agg(F.avg("mae").alias("mae"))
         part = joined.join(error, "cohort", "left").withColumn("model", F.lit(name))
         result = part if result is None else result.unionByName(part)
-    return result.select("model", F.make_date(F.col("year"), F.lit(1), F.lit(1)).alias("ds"), "y", "yhat", "mae")
+    return result.select("model", F.make_date(F.col("year"), F.lit(1), F.lit(1)).alias("ds"), "y", "yhat", "mae", "status")

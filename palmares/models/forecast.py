@@ -27,16 +27,22 @@ from palmares.operators.sampling import time_folds
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def order_used(n: int, lags: int = 5, differences: int = 1) -> tuple[int, int]:
+    """Lags and differences that a series of ``n`` values allows."""
+    differences = min(differences, max(n - 1, 0))
+    return max(min(lags, (n - differences - 1) // 2), 0), differences
+
+
 def autoregression(values: np.ndarray, steps: int, lags: int = 5, differences: int = 1) -> np.ndarray:
     """Forecast of an AR model without constant on the differenced series, fitted by least squares.
 
-    A short series uses fewer lags; a series without enough differences repeats its last value.
+    A short series uses fewer lags (``order_used``); a series without enough differences repeats its last value.
     """
     levels = [values.astype(float)]
-    for _ in range(min(differences, max(len(values) - 1, 0))):
+    p, differences = order_used(len(values), lags, differences)
+    for _ in range(differences):
         levels.append(np.diff(levels[-1]))
     x = levels[-1]
-    p = min(lags, (len(x) - 1) // 2)
     if p < 1:
         return np.repeat(values[-1] if len(values) else np.nan, steps).astype(float)
     design = np.column_stack([x[p - i - 1:len(x) - i - 1] for i in range(p)])
@@ -107,35 +113,54 @@ def boosted_trees(x: np.ndarray, y: np.ndarray, ahead: np.ndarray, trees: int, d
     return out
 
 
-Model = Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], np.ndarray]
+class Model:
+    """``predict`` gives the values of the future rows; ``status`` names what a history of ``n`` values allows to fit."""
+
+    def __init__(self, predict: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame], np.ndarray], status: Callable[[int], str]):
+        self.predict, self.status = predict, status
+
+    def __call__(self, history: pd.DataFrame, y: np.ndarray, future: pd.DataFrame) -> np.ndarray:
+        return self.predict(history, y, future)
 
 
 def ar_model(lags: int = 5, differences: int = 1) -> Model:
-    return lambda history, y, future: autoregression(y, len(future), lags, differences)
+    """Status: ``ok`` with all lags, ``lags=p`` with fewer, ``repeats last value`` with none."""
+
+    def status(n: int) -> str:
+        p, d = order_used(n, lags, differences)
+        return "ok" if (p, d) == (lags, differences) else f"lags={p}" if p else "repeats last value"
+
+    return Model(lambda history, y, future: autoregression(y, len(future), lags, differences), status)
 
 
 def trend_model(time: str = "year", bends: int = 25, waves: int = 10, ridge: float = 1.0) -> Model:
-    return lambda history, y, future: trend_and_season(
-        history[time].to_numpy(float), y, future[time].to_numpy(float), bends, waves, ridge
-    )
+    """Status: ``ok`` with all bends, ``bends=k`` with fewer."""
+
+    def predict(history: pd.DataFrame, y: np.ndarray, future: pd.DataFrame) -> np.ndarray:
+        return trend_and_season(history[time].to_numpy(float), y, future[time].to_numpy(float), bends, waves, ridge)
+
+    return Model(predict, lambda n: "ok" if n > bends else f"bends={n - 1}")
 
 
 def boosted_model(inputs: Sequence[str], trees: int = 500, depth: int = 3, rate: float = 0.1) -> Model:
-    return lambda history, y, future: boosted_trees(
-        history[list(inputs)].to_numpy(float), y, future[list(inputs)].to_numpy(float), trees, depth, rate
-    )
+    def predict(history: pd.DataFrame, y: np.ndarray, future: pd.DataFrame) -> np.ndarray:
+        return boosted_trees(history[list(inputs)].to_numpy(float), y, future[list(inputs)].to_numpy(float), trees, depth, rate)
+
+    return Model(predict, lambda n: "ok")
 
 
 def forecast_per_series(
     rows: DataFrame, by: Sequence[str], time: str, value: str, model: Model, target: str = "yhat", inputs: Sequence[str] = ()
 ) -> DataFrame:
-    """Predict the ``forecast`` rows of every series from its ``history`` rows.
+    """Predict the ``forecast`` rows of every series from its ``history`` rows; ``status`` says what could be fitted.
+
+    A series without history has null predictions and the status ``no history``.
 
     The series are spread over the cores of the cluster: by their few bytes alone AQE would merge them into one task.
     """
     keep = list(dict.fromkeys([*by, time, "kind", value, *inputs]))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in (*by, time)] + [f"`{target}` double"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in (*by, time)] + [f"`{target}` double", "status string"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(time)
@@ -143,6 +168,7 @@ def forecast_per_series(
         out = future[[*by, time]].copy()
         known = len(history) and len(future)
         out[target] = model(history, history[value].to_numpy(float), future) if known else np.nan
+        out["status"] = model.status(len(history)) if len(history) else "no history"
         return out
 
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -152,7 +178,7 @@ def forecast_per_series(
 def cross_validate(
     series: DataFrame, by: Sequence[str], time: str, value: str, model: Model, folds: int = 5
 ) -> DataFrame:
-    """Mean absolute error per expanding-window fold of every series, ``status`` being ``ok``.
+    """Mean absolute error per expanding-window fold of every series, with the model's ``status`` there.
 
     A series too short for the folds has one row without fold and error and the status ``too_short``.
     """
@@ -161,7 +187,7 @@ def cross_validate(
     rows = every.filter(F.col("fold").isNotNull()).withColumn("kind", kind)
     predicted = forecast_per_series(rows, [*by, "fold"], time, value, model)
     tested = rows.filter(F.col("role") == "test").join(predicted, [*by, "fold", time])
-    errors = mean_absolute_error(tested, value, "yhat", [*by, "fold"]).withColumn("status", F.lit("ok"))
+    errors = mean_absolute_error(tested, value, "yhat", [*by, "fold", "status"])
     short = every.filter(F.col("role") == "too_short").select(*by, F.col("role").alias("status")).distinct()
     return errors.unionByName(short, allowMissingColumns=True)
 
