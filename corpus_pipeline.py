@@ -50,7 +50,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Fitted machines, seeded places and merges have no SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
+#: Fitted machines, seeded places and merges have no SQL; tests/llm/test_queries.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
