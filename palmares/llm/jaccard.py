@@ -9,8 +9,9 @@ many regions as it may have partners in. Regions inside a larger one are left ou
 Within regions the join is metric. Every set of a region is compared with its pivot, the smallest set id, which gives its
 distance. What is linked to the pivot is one class and needs no links among itself. Regions that still hold several
 classes are joined once more: sets of different classes are compared if their sizes and their distances to the pivot
-differ by no more than linked sets can (the triangle inequality), large regions block by block. Parity sketches, whose
-Hamming distance never exceeds the size of the symmetric difference, spare the exact comparison of most other pairs.
+differ by no more than linked sets can (the triangle inequality), large regions block by block. Two sets that meet in
+several large regions are left to the first of them. Parity sketches, whose Hamming distance never exceeds the size of
+the symmetric difference, spare the exact comparison of most other pairs.
 
 Equal sets are one set throughout, and set ids stand for documents until the end.
 """
@@ -36,6 +37,8 @@ COMMON, BINS = 24, 1 << 20
 SCREEN = 1 << 23
 #: Sets of a region that are paired by a join; larger regions go block by block.
 FEW, BLOCK = 64, 1024
+#: Large regions of a set, the first in order, that later ones know of; pairs that meet in none of these may come twice.
+EARLIER = 16
 _DRAW = np.random.default_rng(20240229)
 _BYTE = _DRAW.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(int(x) | 1) for x in _DRAW.integers(1, 1 << 63, 64)]
@@ -157,6 +160,17 @@ def common_classes(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def _common_before(lists: pa.ListArray, token: int) -> np.ndarray:
+    """Bits of every list for the numbers below ``token`` that several lists hold."""
+    flat = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    low = flat < token
+    values, place, n = np.unique(flat[low], return_inverse=True, return_counts=True)
+    held = np.zeros((len(lists), len(values)), bool)
+    held[row[low], place] = True
+    return np.packbits(held[:, n > 1], axis=1)
+
+
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -308,11 +322,12 @@ class Join:
 
     def _many(self, left: DataFrame) -> DataFrame:
         """The same in larger regions: every two blocks of a region are one task's group, which returns what its
-        sketches do not rule out."""
+        sketches do not rule out and no earlier region of both sets returns."""
         percent, reach = self.percent, 1 - self.percent / 100 + 1e-9
         blocks = F.ceil(F.col("many") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-        dealt = left.join(self.sketches.select("set", "sketch"), "set").withColumn("own", own)
+        earlier = left.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("token")), 1, EARLIER).alias("earlier"))
+        dealt = left.join(self.sketches.select("set", "sketch").join(earlier, "set"), "set").withColumn("own", own)
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
@@ -321,6 +336,7 @@ class Join:
             far = table.column("far").to_numpy(zero_copy_only=False)
             sketches = table.column("sketch").to_pylist()
             width = np.array([len(s) for s in sketches])
+            before = _common_before(table.column("earlier").combine_chunks(), table.column("token")[0].as_py())
             out = []
             for w in np.unique(width):
                 left_at = np.flatnonzero(width == w)
@@ -340,7 +356,9 @@ class Join:
                         xs, ys = x[k:k + 4096], y[k:k + 4096]
                         apart = np.bitwise_count(a[start + xs] ^ b[ys]).sum(axis=1, dtype=np.int64)
                         close = apart * (100 + percent) <= size[xs, ys] * (100 - percent)
-                        out.append(np.sort(np.stack([ids[at][xs[close]], ids[right_at][ys[close]]], axis=1), axis=1))
+                        one, two = at[xs[close]], right_at[ys[close]]
+                        new = ~(before[one] & before[two]).any(axis=1)
+                        out.append(np.sort(np.stack([ids[one[new]], ids[two[new]]], axis=1), axis=1))
             found = np.concatenate([*out, np.zeros((0, 2), np.int64)])
             return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 

@@ -101,3 +101,26 @@ def test_components_of_long_paths_and_stars(spark):
     found = {r["node"]: r["root"] for r in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert smallest_reachable(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_pairs_that_share_several_large_regions_come_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    made, plain = [], jaccard.Join._many
+
+    def seen(self, left):
+        made.append(jaccard.stored(plain(self, left)))
+        return made[-1]
+
+    monkeypatch.setattr(jaccard.Join, "_many", seen)
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for key in range(60):
+        words = list(base)
+        for _ in range(2):
+            words[draw.randrange(40)] = f"x{draw.randrange(1000)}"
+        rows.append((key, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.classes(docs).collect()) == brute_force(rows)
+    assert made[0].count() == made[0].distinct().count() > 0
