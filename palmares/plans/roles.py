@@ -13,20 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palmares.plans.etl import prepare
 from palmares.schemas import SUMMER, WINTER
 from palmares.sources.files import NON_BREAKING_SPACE, clean_lookup, table
-from palmares.store import stored
+from palmares.store import stored_once
 
 DEFAULT_CODE = "AM"
 CONTINENT_CODES = {"AF": "AFRICA", "AM": "AMERICA", "AS": "ASIA", "EU": "EUROPE", "MI": "MIDDLE EAST"}
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
-
 
 def _once(spark: SparkSession, folder: str, label: str, build, refresh: bool = False, partition_by=()) -> DataFrame:
     """The table of this session, folder and label, written at first use."""
-    key = (spark.sparkContext.applicationId, folder, label)
-    if refresh or key not in _stored:
-        _stored[key] = stored(build(spark, folder), label, partition_by)
-    return _stored[key]
+    return stored_once(spark, (folder, label), lambda: build(spark, folder), refresh, partition_by)
 
 
 def join_tables(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,18 +3,21 @@
 A stored table cuts lineage on storage that outlives executors, is computed once however often it is read,
 and gives the planner its true size: below ``spark.sql.autoBroadcastJoinThreshold`` Spark broadcasts it,
 above it the join is a sort-merge whose two inputs are plain shuffles, which AQE can split on a hot key.
+
+A job discards what only its own stored tables were made from; ``discard_all`` removes whatever a session has left.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _local_dirs: dict[str, str] = {}
+_kept: dict[str, dict[tuple[str, ...], DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/palmares/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and return the frame that reads it back.
 
@@ -43,4 +51,31 @@ def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned. Whatever was made from them must be stored itself by then, so that a lost
+    executor needs them no more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_path)
+
+
+def stored_once(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame], refresh: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The table of this session and key, written at first use; ``refresh`` replaces it."""
+    mine = _kept.setdefault(spark.sparkContext.applicationId, {})
+    if refresh or key not in mine:
+        old = mine.get(key)
+        mine[key] = stored(build(), key[-1], partition_by)
+        if old is not None:
+            discard(old)
+    return mine[key]
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that this session has stored. Frames that read one of them can run no more."""
+    app = spark.sparkContext.applicationId
+    _kept.pop(app, None)
+    _delete(spark, f"{shared_dir(spark)}/palmares/{app}")
