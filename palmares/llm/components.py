@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from palmares.store import stored
+from palmares.store import discard, stored
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
@@ -21,8 +21,10 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "links-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = stored(large, "links-large")
+        discard(low, edges)
         low = stored(large.groupBy("u").agg(F.min("v").alias("low")), "links-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v")
         edges = stored(small.unionAll(low.select("u", F.col("low").alias("v"))).distinct(), "links")
+        discard(low, large)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palmares.llm.common import packed, unpacked
 from palmares.llm.components import smallest_reachable
-from palmares.store import stored
+from palmares.store import discard, stored
 
 WORDS = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
@@ -194,13 +194,15 @@ class Join:
                 ], names=["key", "set", "n", "prefix", "sketch"])
 
         kind = f"key {rows.schema['key'].dataType.simpleString()}, set long, n long, prefix binary, sketch binary"
-        self.sets = stored(rows.select("key", "text").mapInArrow(read, kind), "jaccard-sets")
-        self.regions = self._regions()
+        wide = stored(rows.select("key", "text").mapInArrow(read, kind), "jaccard-wide")
+        self.sets = stored(wide.select("key", "set", "n"), "jaccard-sets")
+        self.regions = self._regions(wide)
         held = self.regions.select("set").distinct()
-        sketches = self.sets.select("set", "n", "sketch").join(held, "set", "left_semi").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        sketches = wide.select("set", "n", "sketch").join(held, "set", "left_semi").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.sketches = stored(sketches, "jaccard-sketches")
+        discard(wide)
 
-    def _regions(self) -> DataFrame:
+    def _regions(self, wide: DataFrame) -> DataFrame:
         """(token, set, n): the sets that hold a shingle among their rarest, for shingles of two sets or more.
 
         Edited copies share most of their rarest shingles, so most regions lie inside a larger one of the same sets. That
@@ -213,9 +215,10 @@ class Join:
                 flat = np.frombuffer(b"".join(batch.column(1).take(pa.array(first)).to_pylist()), np.uint64)
                 yield pa.RecordBatch.from_arrays([_signed(flat)], names=["token"])
 
-        seen = self.sets.select("set", "prefix").mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        seen = wide.select("set", "prefix").mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         again = stored(seen.filter("n > 1").select("token"), "jaccard-tokens")
         screen = self.rows.sparkSession.sparkContext.broadcast(_bitmap(again, "token"))
+        discard(again)
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,15 +229,18 @@ class Join:
                 columns = [pa.array(flat[kept]), pa.array(np.repeat(ids, lengths)[kept]), pa.array(np.repeat(sizes, lengths)[kept])]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "set", "n"])
 
-        rows = self.sets.select("set", "n", "prefix").mapInArrow(entries, "token long, set long, n long").distinct()
+        rows = wide.select("set", "n", "prefix").mapInArrow(entries, "token long, set long, n long").distinct()
         rows = stored(rows, "jaccard-entries")
         several = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "jaccard-several")
         # A region whose sets all have one and the same other region as their largest lies inside that one.
         largest = F.max(F.struct("many", "token")).over(Window.partitionBy("set"))["token"]
         placed = stored(rows.join(several, "token").select("token", "set", "n", largest.alias("largest")), "jaccard-placed")
+        discard(rows, several)
         span = placed.groupBy("token").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
         outer = stored(span.filter("low <> high OR low = token").select("token"), "jaccard-outer")
-        return stored(placed.drop("largest").join(outer, "token", "left_semi"), "jaccard-regions")
+        regions = stored(placed.drop("largest").join(outer, "token", "left_semi"), "jaccard-regions")
+        discard(placed, outer)
+        return regions
 
     def _held(self, pairs: DataFrame) -> DataFrame:
         """(set, tokens) of the sets of some pairs, read again from the texts."""
@@ -252,7 +258,9 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["set", "tokens"])
 
         found = self.rows.select("text").mapInArrow(read, "set long, tokens binary")
-        return stored(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens")), "jaccard-members")
+        members = stored(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens")), "jaccard-members")
+        discard(wanted)
+        return members
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that their sketches do not rule out."""
@@ -286,7 +294,9 @@ class Join:
         left = members.select(F.col("set").alias("a"), F.col("tokens").alias("left"))
         right = members.select(F.col("set").alias("b"), F.col("tokens").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return stored(both.mapInArrow(compare, "a long, b long, far double, linked boolean"), "jaccard-compared")
+        found = stored(both.mapInArrow(compare, "a long, b long, far double, linked boolean"), "jaccard-compared")
+        discard(members)
+        return found
 
     def links(self) -> DataFrame:
         """(a, b): linked pairs of different sets, enough of them to connect every class."""
@@ -295,22 +305,27 @@ class Join:
         placed = self.regions.join(pivots, "token")
         stars = placed.filter((F.col("set") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"), self.percent))
         stars = stored(stars.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), "jaccard-stars")
-        found = self.compared(self.near(stars))
+        near = self.near(stars)
+        found = self.compared(near)
         links = found.filter("linked").select("a", "b")
-        roots = stored(smallest_reachable(links), "jaccard-roots").withColumnRenamed("node", "set")
+        roots = stored(smallest_reachable(links).withColumnRenamed("node", "set"), "jaccard-roots")
         # Sets that were not compared with the pivot have no distance to it and stay comparable to all.
         far = found.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "far")
         named = placed.join(roots, "set", "left").join(far, ["pivot", "set"], "left").select(
             "token", "set", "n", F.when(F.col("set") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")).alias("far"), F.coalesce("root", "set").alias("class")
         )
         named = stored(named, "jaccard-named")
+        discard(near, pivots, roots, self.regions)
         state = named.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("class").alias("low"), F.max("class").alias("high"))
         state = stored(state.filter("low <> high").select("token", "many"), "jaccard-state")
         left = named.join(state, "token")
         pairs = stored(self._few(left.filter(F.col("many") <= FEW)).unionAll(self._many(left.filter(F.col("many") > FEW))).distinct(), "jaccard-pairs")
-        pairs = pairs.join(stars, ["a", "b"], "left_anti")
-        more = self.compared(self.near(pairs)).filter("linked").select("a", "b")
-        return stored(links.unionAll(more), "jaccard-links")
+        near = self.near(pairs.join(stars, ["a", "b"], "left_anti"))
+        discard(named, state, pairs, stars, self.sketches)
+        more = self.compared(near)
+        every = stored(links.unionAll(more.filter("linked").select("a", "b")), "jaccard-links")
+        discard(near, found, more)
+        return every
 
     def _few(self, left: DataFrame) -> DataFrame:
         """Pairs of different classes that may link, in regions of at most ``FEW`` sets."""
@@ -373,9 +388,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     key has the class of its text, or a null one if no row of the class has a key.
     """
     join = Join(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), words, percent)
-    roots = stored(smallest_reachable(join.links()), "jaccard-roots")
+    links = join.links()
+    roots = stored(smallest_reachable(links), "jaccard-roots")
     rows = join.sets.select("key", "set", "n").filter("n > 0").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     rows = stored(rows.select("key", "n", F.coalesce("root", "set").alias("class")), "jaccard-classes")
+    discard(links, roots)
     smallest = stored(rows.groupBy("class").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "jaccard-smallest")
     met = rows.join(smallest, "class", "left")
     alone = join.sets.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
