@@ -33,8 +33,9 @@ WORDS = 5
 PERCENT = 75
 #: Shingles in so many sets or more count as common; their classes of frequency are kept for hashes modulo BINS.
 COMMON, BINS = 24, 1 << 20
-#: Bits of the screen of set ids and shingles that a scan tests before anything is shuffled.
-SCREEN = 1 << 23
+#: A screen of ids that a scan tests before anything is shuffled has so many bits an id, up to a bound. Beyond the bound
+#: more ids pass that a join has to sort out, which costs shuffled bytes and changes no result.
+SCREEN_BITS, LARGEST_SCREEN = 32, 1 << 27
 #: Sets of a region that are paired by a join; larger regions go block by block.
 FEW, BLOCK = 64, 1024
 #: Large regions of a set, the first in order, that later ones know of; pairs that meet in none of these may come twice.
@@ -119,8 +120,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _bitmap(ids: DataFrame, column: str, bits: int = SCREEN):
+def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
     """A bounded set of bits that holds every id of ``column``; other ids may pass, and are sorted out by a join."""
+    bits = min(LARGEST_SCREEN, 1 << max(16, (SCREEN_BITS * ids.count() - 1).bit_length()))
     places = ids.select(F.pmod(F.col(column), F.lit(bits)).cast("int").alias("bit")).distinct()
     words = places.groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, bit % 32))").alias("bits"))
     table = words.toArrow()
