@@ -13,12 +13,13 @@ from palmares.operators.gaps import gap_label, second_success
 from palmares.operators.impute import fill_with_group_mean
 from palmares.operators.joins import attach, keep_listed
 from palmares.operators.ranking import one_per_key
+from palmares.plans.medals import relocated
 from palmares.schemas import GOLD
 from palmares.store import stored
 
 
-def young_golds(df: DataFrame, continent: str = "Europe", under: float = 26) -> DataFrame:
-    return df.filter((F.col("medal") == GOLD) & (F.col("age") < under) & (F.col("continent") == continent))
+def young_golds(df: DataFrame, continent: str = "Europe", under: float = 26, moved: tuple[str, str] | None = None) -> DataFrame:
+    return relocated(df, moved).filter((F.col("medal") == GOLD) & (F.col("age") < under) & (F.col("continent") == continent))
 
 
 def single_sport_winners(golds: DataFrame, athlete: str = "name", sport: str = "sport", at_least: int = 2) -> DataFrame:
@@ -41,9 +42,13 @@ def double_winners(
     at_least: int = 2,
     athlete: str = "name",
     sport: str = "sport",
+    moved: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """One row per gold of the chosen athletes with gold count, number of sports and time to the second gold."""
-    golds = young_golds(df, continent, under)
+    """One row per gold of the chosen athletes with gold count, number of sports and time to the second gold.
+
+    ``moved`` = (country code, continent) places one country on another continent first.
+    """
+    golds = young_golds(df, continent, under, moved)
     winners = single_sport_winners(golds, athlete, sport, at_least)
     waits = second_success(golds, athlete).select(athlete, gap_label().alias("years_to_two"))
     return attach(golds, winners.join(waits, athlete), athlete, "inner")
@@ -92,13 +97,14 @@ def flows(
 
 
 def cohort(
-    df: DataFrame, continent: str = "Europe", under: float = 26, athlete: str = "name", sport: str = "sport"
+    df: DataFrame, continent: str = "Europe", under: float = 26, athlete: str = "name", sport: str = "sport",
+    moved: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Golds of the cohort with the number of the athlete's other rows and filled body measures.
 
     Every row that is not a gold counts as another achievement, also one without a medal.
     """
-    golds = young_golds(df, continent, under)
+    golds = young_golds(df, continent, under, moved)
     winners = stored(single_sport_winners(golds, athlete, sport), "winners")
     rows = golds.join(winners, athlete)
     others = keep_listed(df.filter(F.col("medal") != GOLD), winners.select(athlete), athlete)

@@ -13,19 +13,24 @@ from palmares.operators.series import with_cyclic_year
 from palmares.schemas import MEDALS, NO_MEDAL
 
 
-def medal_groups(df: DataFrame) -> DataFrame:
+def relocated(df: DataFrame, moved: tuple[str, str] | None) -> DataFrame:
+    """``df`` with one country placed on another continent; ``moved`` = (country code, continent), none by default."""
+    return df.withColumn("continent", override("continent", "noc", *moved)) if moved else df
+
+
+def medal_groups(df: DataFrame, moved: tuple[str, str] | None = None) -> DataFrame:
     """Medals by continent, season, medal, sex and age group."""
-    return count_by(df.filter(won()), ["continent", "season", "medal", "sex", "age_bin"], "medal", "medals")
+    return count_by(relocated(df, moved).filter(won()), ["continent", "season", "medal", "sex", "age_bin"], "medal", "medals")
 
 
-def medal_table(df: DataFrame) -> DataFrame:
+def medal_table(df: DataFrame, moved: tuple[str, str] | None = None) -> DataFrame:
     """Gold, silver, bronze and total per continent and season."""
-    return category_pivot(df.filter(F.col("medal").isin(MEDALS)), ["continent", "season"], total="medals")
+    return category_pivot(relocated(df, moved).filter(F.col("medal").isin(MEDALS)), ["continent", "season"], total="medals")
 
 
-def medals_by_age(df: DataFrame, season: str | None = None) -> DataFrame:
+def medals_by_age(df: DataFrame, season: str | None = None, moved: tuple[str, str] | None = None) -> DataFrame:
     """Medals by continent, season and age group, optionally of one season."""
-    rows = df.filter(won())
+    rows = relocated(df, moved).filter(won())
     rows = rows.filter(F.col("season") == season) if season else rows
     return count_by(rows, ["continent", "season", "age_bin"], "medal", "medals")
 
@@ -45,15 +50,13 @@ def medal_map(
 ) -> DataFrame:
     """Medal count on every region of the dimension, null where the key has none.
 
-    ``moved`` = (country code, continent) places one country on another continent before the count.
+    ``continents`` are chosen by the continents of the table, before ``moved`` places a country on another one.
     """
-    rows = apply_filters(df.filter(won()), {"continent": continents})
-    if moved:
-        rows = rows.withColumn("continent", override("continent", "noc", *moved))
+    rows = relocated(apply_filters(df.filter(won()), {"continent": continents}), moved)
     counts = count_by(rows, [fact_key], "medal", "medals").withColumnRenamed(fact_key, "_key")
     return regions.join(counts, F.col(region_key) == F.col("_key"), "left").drop("_key")
 
 
-def yearly_features(df: DataFrame) -> DataFrame:
+def yearly_features(df: DataFrame, moved: tuple[str, str] | None = None) -> DataFrame:
     """Profile per year, season and continent with the cyclic encoding on the last year of the whole table."""
-    return with_cyclic_year(yearly_profile(df.fillna(NO_MEDAL, ["medal"])))
+    return with_cyclic_year(yearly_profile(relocated(df, moved).fillna(NO_MEDAL, ["medal"])))

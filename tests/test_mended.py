@@ -104,3 +104,14 @@ def test_status_names_the_order_used(spark):
         + [(s, 99, "forecast", None) for s in ("long", "short", "one", "none")], "s string, t int, kind string, v double")
     found = {r["s"]: (r["status"], r["yhat"] is None) for r in forecast_per_series(rows, ["s"], "t", "v", ar_model()).collect()}
     assert found == {"long": ("ok", False), "short": ("lags=2", False), "one": ("repeats last value", False), "none": ("no history", True)}
+
+
+def test_one_country_moves_before_the_young_golds_are_chosen(spark):
+    from palmares.plans.doubles import double_winners
+
+    rows = [(name, "Gold", 20.0, continent, noc, "Rowing", year) for name, continent, noc in [("a", "Europe", "RUS"), ("b", "Europe", "POL")] for year in (2000, 2004)]
+    df = spark.createDataFrame(rows, "name string, medal string, age double, continent string, noc string, sport string, year int")
+    names = lambda **options: {r["name"] for r in double_winners(df, **options).collect()}
+    assert names() == {"a", "b"}
+    assert names(moved=("RUS", "Asia")) == {"b"}
+    assert names(moved=("RUS", "Asia"), continent="Asia") == {"a"}
