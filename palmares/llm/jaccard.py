@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from palmares.llm.common import packed, unpacked
 from palmares.llm.components import smallest_reachable
@@ -382,31 +382,45 @@ class Join:
         return dealt.groupBy("token", "i", "j").applyInArrow(join_blocks, "a long, b long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: the size of its set of shingles and the smallest key reachable by
-    links, its own included.
-
-    Null texts and texts without words have no shingles and no links; rows that repeat a text have the same class. A null
-    key has the class of its text, or a null one if no row of the class has a key.
-    """
+def _joined(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(key, set, n, component_id) of every row, as ``classes`` tells."""
     join = Join(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), words, percent)
     links = join.links()
     roots = stored(smallest_reachable(links), "jaccard-roots")
     rows = join.sets.select("key", "set", "n").filter("n > 0").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-    rows = stored(rows.select("key", "n", F.coalesce("root", "set").alias("class")), "jaccard-classes")
+    rows = stored(rows.select("key", "set", "n", F.coalesce("root", "set").alias("class")), "jaccard-classes")
     discard(links, roots)
     smallest = stored(rows.groupBy("class").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "jaccard-smallest")
     met = rows.join(smallest, "class", "left")
-    alone = join.sets.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    return met.select("key", "n", F.when(F.col("rows").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")).unionAll(alone).select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id"
-    )
+    alone = join.sets.filter("n = 0").select("key", "set", "n", F.col("key").alias("component_id"))
+    component = F.when(F.col("rows").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")
+    return met.select("key", "set", "n", component).unionAll(alone)
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: the size of its set of shingles and the smallest key reachable by
+    links, its own included.
+
+    Null texts and texts without words have no shingles and no links; rows that repeat a text have the same class. A null
+    key has the class of its text, or a null one if no row of the class has a key.
+    """
+    return _joined(docs, key, text, words, percent).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its class. Rows without shingles and rows that repeat the
-    smallest key stay; rows with a null key stay only in a class without other keys."""
-    found = classes(docs, key, text, words, percent)
-    dropped = stored(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("out")).distinct(), "jaccard-dropped")
-    rows = docs.select(packed(docs.columns).alias("row"), F.col(f"`{key}`").alias("key"))
-    return unpacked(rows.join(dropped, F.col("key").eqNullSafe(F.col("out")), "left_anti"), "row", [])
+    smallest key stay; rows with a null key stay only in a class without other keys. Rows that repeat a key over different
+    texts are told apart by their sets of shingles, which a scan of the texts hashes again."""
+    found = _joined(docs, key, text, words, percent)
+    dropped = found.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("out"), F.col("set").alias("out_set"))
+    dropped = stored(dropped.distinct(), "jaccard-dropped")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [set_id(shingles(t, words)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64())], names=["row", "key", "set"])
+
+    rows = docs.select(packed(docs.columns).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    kind = T.StructType([rows.schema["row"], rows.schema["key"], T.StructField("set", T.LongType())])
+    same = (F.col("set") == F.col("out_set")) & F.col("key").eqNullSafe(F.col("out"))
+    return unpacked(rows.mapInArrow(named, kind).join(dropped, same, "left_anti"), "row", [])

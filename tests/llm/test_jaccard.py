@@ -83,6 +83,21 @@ def test_one_of_each_class_stays_with_its_columns(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({c for _, _, c in brute_force(rows)})
 
 
+def test_one_of_each_class_tells_rows_of_one_key_apart(spark):
+    rows = documents(6, 40) + ODD + [(7, "nobody has this either"), (5, "one two three"), (5, None), (None, None), (100, "only here")]
+    group = {i: c for i, _, c in brute_force([(i, text) for i, (_, text) in enumerate(rows)])}
+    smallest = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            smallest[group[i]] = min(key, smallest.get(group[i], key))
+    want = Counter(r for i, r in enumerate(rows) if not plain_set(r[1]) or r[0] == smallest.get(group[i]))
+    assert want[(None, "nobody else")] and want[(7, "nobody has this either")] and not want[(None, "one two")]
+    docs = spark.createDataFrame([(*r, "clash", 1, "t") for r in rows], SCHEMA)
+    left = jaccard.one_of_each_class(docs)
+    assert left.schema == docs.schema
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == want
+
+
 def test_sketches_never_rule_out_a_link():
     draw = np.random.default_rng(5)
     for _ in range(300):
