@@ -1,38 +1,50 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of character n-grams, trained on trusted texts.
 
-Counts are joins and groupings over shards of n-grams: tasks count the n-grams of their texts, a shuffle sums them,
-lower orders count the distinct left neighbours of an n-gram, and contexts are joined back to their n-grams for the
-discounted shares. The finished table is cut into shards by the character before the predicted one, so that each place
-in a text needs one shard only. Shards have a bounded number of rows and are sent to the tasks one after the other; each
-adds its part of every document's log-probability. Each language has a model, and a threshold: a quantile of the
+Both the counts and the scores are joins and groupings of n-grams. Tasks count the n-grams of their texts, a shuffle sums
+them, lower orders count the distinct left neighbours of an n-gram, and contexts are joined back to their n-grams for the
+discounted shares. Shares are interpolated with those of the lower order by a join on the n-gram without its first symbol,
+so that one row holds the whole probability of a seen n-gram.
+
+To score, tasks count the n-grams of every document. These meet the model by a join from the highest order down: an n-gram
+that the model has seen adds the logarithm of its probability to its document, another one the logarithm of its context's
+weight, and goes on without its first symbol. Sums of a document are formed in tasks before they are shuffled. The model
+stays in stored tables; nothing in this module collects it. Each language has a model, and a threshold: a quantile of the
 perplexities of trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from math import ceil
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palmares.llm.common import packed, unpacked
-from palmares.store import stored
+from palmares.store import discard, stored
 
 ORDER = 4
 QUANTILE = 0.995
 #: One trusted text in so many is kept from the model, and thresholds come from these.
 MEASURED = 4
-SHARD_ROWS = 4_000_000
-START, END = "\x02", "\x03"
+#: Symbols whose n-grams a task lays out and counts at once.
+SHARD_ROWS = 1 << 18
+START, END = 2, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The share of a symbol in a language that the model lacks.
+NO_MODEL = 1e-6
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+#: The symbols of a text, and how many there are as a column.
+Symbols = tuple[Callable[[str], np.ndarray], Callable[[str], Column]]
+CHARACTERS: Symbols = (_codes, lambda text: F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long"))
+
+
 def _step(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """The key of a string that is longer by one symbol, from the key of its rest."""
     key = (key ^ symbol) * MIX
@@ -46,189 +58,136 @@ def _language(lang: str | None) -> np.uint64:
     return key[0]
 
 
-def _laid_out(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts end to end with start and end symbols, and the first place of each."""
-    padded = [START * (order - 1) + text + END for text in texts]
-    return _codes("".join(padded)), np.concatenate([[0], np.cumsum([len(p) for p in padded])])
-
-
-def _chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > most:
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
             yield start, i
             start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _names(order: int) -> list[str]:
+    """The columns of an n-gram: its language, and its symbols from s<order> to the last one, s1."""
+    return ["of", *[f"s{k}" for k in range(order, 0, -1)]]
 
 
-def count_grams(docs: DataFrame, order: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): the n-grams of the whole texts, summed within tasks before the shuffle."""
+def grams(docs: DataFrame, order: int, symbols: Symbols, text: str, lang: str, own: Column, most: int = SHARD_ROWS) -> DataFrame:
+    """(own, of, s<order> ... s1, n): the n-grams of the whole texts, counted for each ``own`` (a long) within batches."""
+    names = _names(order)
+    read = symbols[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name in set(langs):
-                own = [t for g, t in zip(langs, texts) if g == name and t]
-                for start, end in _chunks(own, 8 << 20):
-                    codes, starts = _laid_out(own[start:end], order)
-                    key = np.zeros(len(codes) - order + 1, np.uint64)
-                    for i in range(order):
-                        key = _step(key, codes[i:len(codes) - order + 1 + i])
-                    inside = np.ones(len(key), bool)
-                    for back in range(1, order):
-                        inside[np.maximum(starts[1:-1] - back, 0)] = False
-                    key, place = key[inside], np.flatnonzero(inside)
-                    _, first, n = np.unique(key, return_index=True, return_counts=True)
-                    place = place[first]
-                    letters = np.stack([codes[place + i] for i in range(order)], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
-                    grams = [letters[i:i + order] for i in range(0, len(letters), order)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"]
-                    )
-
-    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            owns = batch.column(0).to_numpy().view(np.uint64)
+            seeds = {name: _language(name) for name in set(langs)}
+            for start, end in _chunks([len(t or "") for t in texts], most):
+                read_in = [(i, s) for i in range(start, end) if texts[i] and len(s := read(texts[i]))]
+                if not read_in:
+                    continue
+                edge, stop = np.full(order - 1, START, np.uint64), np.array([END], np.uint64)
+                flat = np.concatenate([part for _, s in read_in for part in (edge, s, stop)])
+                sizes = np.array([len(s) + 1 for _, s in read_in])
+                place = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(sizes) + 1) * (order - 1), sizes)
+                who = np.repeat([i for i, _ in read_in], sizes)
+                seed = np.array([seeds[langs[i]] for i, _ in read_in], np.uint64).repeat(sizes)
+                columns = [owns[who], seed, *[flat[place - back] for back in range(order - 1, -1, -1)]]
+                key = reduce(_step, columns, np.zeros(len(place), np.uint64))
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[first].view(np.int64)) for c in columns], pa.array(n, pa.int64())], names=["own", *names, "n"])
+
+    rows = docs.select(own.alias("own"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(count, ", ".join(f"{c} long" for c in ("own", *names, "n")))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
     """The three discounts of each language, from the counts of counts."""
     n1, n2, n3, n4 = (F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4))
-    sums = counts.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
+    sums = counts.groupBy("of").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     rest = lambda k, more, less: F.when((F.col(less) > 0) & (F.col("n1") > 0), F.greatest(F.least(k - (k + 1) * y * F.col(more) / F.col(less), F.lit(float(k))), F.lit(0.1))).otherwise(0.5)
-    return sums.select("lang", rest(1, "n2", "n1").alias("d1"), rest(2, "n3", "n2").alias("d2"), rest(3, "n4", "n3").alias("d3"))
+    return sums.select("of", rest(1, "n2", "n1").alias("d1"), rest(2, "n3", "n2").alias("d2"), rest(3, "n4", "n3").alias("d3"))
 
 
-def model(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, context, value): for each n-gram of 1 to ``order`` symbols its discounted share after its context,
-    and for each context (``context`` true) the weight of the next lower order; one row with an empty context per
-    language holds the share of each unseen symbol."""
-    counts = stored(count_grams(docs, order, text, lang), "kn-counts")
+def model(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", symbols: Symbols = CHARACTERS) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 to ``order`` a stored table of the seen n-grams with the interpolated probability ``p`` of
+    their last symbol, and one of their contexts with the ``weight`` of the next lower order. The only context of order 1
+    is the language; its weight is the share of each unseen symbol."""
+    counts = grams(docs, order, symbols, text, lang, F.lit(0).cast("long")).groupBy(*_names(order)).agg(F.sum("n").alias("n"))
+    counts = stored(counts, "kn-counts")
     parts = []
     for size in range(order, 0, -1):
-        discounts = stored(_discounts(counts).withColumnRenamed("lang", "of"), "kn-discounts")
-        rows = counts.join(discounts, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
+        names, before = _names(size), _names(size)[:-1]
+        discounts = stored(_discounts(counts), "kn-discounts")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.withColumn("cut", cut).withColumn("before", F.substring("gram", 1, size - 1))
-        contexts = rows.groupBy("lang", "before").agg(F.sum("n").alias("all"), F.sum("cut").alias("free"), F.count(F.lit(1)).alias("kinds"))
-        contexts = stored(contexts, "kn-contexts")
-        same = rows["lang"].eqNullSafe(contexts["lang"]) & (rows["before"] == contexts["before"])
-        shares = rows.join(contexts, same).select(rows["lang"], "gram", F.lit(False).alias("context"), ((F.col("n") - F.col("cut")) / F.col("all")).alias("value"))
-        weights = contexts.select("lang", F.col("before").alias("gram"), F.lit(True).alias("context"), (
-            F.col("free") / F.col("all") / (F.col("kinds") + 1 if size == 1 else F.lit(1))
-        ).alias("value"))
-        parts += [shares, weights]
-        if size > 1:
-            counts = stored(counts.groupBy("lang", F.substring("gram", 2, size - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "kn-counts")
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionAll(part)
-    return stored(table, "kn-model")
-
-
-def _shard(table: DataFrame, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys and values of the n-grams and of the contexts of one shard; single symbols belong to all."""
-    last = F.when(F.col("context"), F.substring("gram", -1, 1)).otherwise(F.substring("gram", -2, 1))
-    everywhere = F.length("gram") < F.when(F.col("context"), 1).otherwise(2)
-    own = table.filter(everywhere | (F.pmod(F.ascii(last), F.lit(shards)) == shard)) if shards > 1 else table
-    rows = own.toArrow()
-    langs, grams = rows.column("lang").to_pylist(), rows.column("gram").to_pylist()
-    context, value = rows.column("context").to_numpy(zero_copy_only=False), rows.column("value").to_numpy()
-    seeds = {name: _language(name) for name in set(langs)}
-    key = np.array([seeds[name] for name in langs], np.uint64)
-    sizes = np.array([len(g) for g in grams], np.int64)
-    codes, ends = _codes("".join(grams)), np.cumsum(sizes)
-    for back in range(1, int(sizes.max(initial=0)) + 1):
-        long_enough = sizes >= back
-        key[long_enough] = _step(key[long_enough], codes[(ends - back)[long_enough]])
+        rows = counts.join(discounts, "of").select(*names, "n", cut.alias("cut"))
+        contexts = rows.groupBy(*before).agg(F.sum("n").alias("all"), F.sum("cut").alias("free"), F.count(F.lit(1)).alias("kinds"))
+        weight = F.col("free") / F.col("all") / (F.col("kinds") + 1 if size == 1 else F.lit(1))
+        contexts = stored(contexts.select(*before, "all", weight.alias("weight")), "kn-contexts")
+        shares = rows.join(contexts, before).select(*names, ((F.col("n") - F.col("cut")) / F.col("all")).alias("share"), "weight")
+        parts.append((stored(shares, "kn-shares"), contexts))
+        lower = counts.groupBy(*_names(size - 1)).agg(F.count(F.lit(1)).alias("n")) if size > 1 else None
+        former, counts = counts, stored(lower, "kn-counts") if size > 1 else None
+        discard(former)
     out = []
-    for kind in (False, True):
-        order = np.argsort(key[context == kind])
-        out += [key[context == kind][order], value[context == kind][order]]
-    return tuple(out)
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
-
-def _log_shares(grams: np.ndarray, language: np.uint64, table: tuple) -> np.ndarray:
-    """log p of the last symbol of every row of ``grams`` after the symbols before it."""
-    keys, values, context_keys, context_values = table
-    order, n = grams.shape[1], len(grams)
-    none = np.full(n, language)
-    p = np.full(n, _look_up(context_keys, context_values, none[:1], 1e-6)[0]) if n else np.zeros(0)
-    gram, before = _step(none, grams[:, -1]), none
-    p = p + _look_up(keys, values, gram, 0.0)
-    for back in range(2, order + 1):
-        symbol = grams[:, order - back]
-        gram, before = _step(gram, symbol), _step(before, symbol)
-        p = _look_up(keys, values, gram, 0.0) + _look_up(context_keys, context_values, before, 1.0) * p
-    return np.log(p)
-
-
-def scored(docs: DataFrame, table: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    for size, (shares, contexts) in enumerate(reversed(parts), 1):
+        rest = F.lit(1.0)
+        rows = shares
+        if out:
+            rows, rest = shares.join(out[-1][0].withColumnRenamed("p", "rest"), _names(size - 1)), F.col("rest")
+        out.append((stored(rows.select(*_names(size), (F.col("share") + F.col("weight") * rest).alias("p")), "kn-model"), contexts.drop("all")))
+        discard(shares)
+    return out
+
+
+def scored(
+    docs: DataFrame, table: Sequence[tuple[DataFrame, DataFrame]], order: int = ORDER, text: str = "text", lang: str = "lang",
+    shard_rows: int = SHARD_ROWS, symbols: Symbols = CHARACTERS,
+) -> DataFrame:
     """``docs`` with ``perplexity`` per symbol of the whole text and ``n_symbols``; both columns replace ones of these
-    names. Null and empty texts have null perplexity."""
-    shards = max(1, ceil(table.count() / shard_rows))
+    names. Texts without symbols have null perplexity. ``table`` is a ``model`` of the same order and symbols.
+
+    Rows with the same language and text are one document: their sums and their numbers of symbols grow alike.
+    """
     others = [c for c in docs.columns if c not in ("perplexity", "n_symbols")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias("perplexity"))
-    lang_at, text_at = others.index(lang), others.index(text)
-    kind = rows.schema
-
-    def adder(shared, shard: int):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                langs, texts = batch.column(lang_at).to_pylist(), [t or "" for t in batch.column(text_at).to_pylist()]
-                total = np.zeros(batch.num_rows)
-                for name in set(langs):
-                    rows_of = [i for i, g in enumerate(langs) if g == name and texts[i]]
-                    for start, end in _chunks([texts[i] for i in rows_of]):
-                        at = rows_of[start:end]
-                        codes, starts = _laid_out([texts[i] for i in at], order)
-                        key = np.zeros(len(codes) - order + 1, np.uint64)
-                        for i in range(order):
-                            key = _step(key, codes[i:len(codes) - order + 1 + i])
-                        inside = np.ones(len(key), bool)
-                        for back in range(1, order):
-                            inside[np.maximum(starts[1:-1] - back, 0)] = False
-                        if shards > 1:
-                            inside &= codes[order - 2:len(codes) - 1] % np.uint64(shards) == shard if order > 1 else shard == 0
-                        place = np.flatnonzero(inside)
-                        _, first, again = np.unique(key[place], return_index=True, return_inverse=True)
-                        grams = np.stack([codes[place[first] + i] for i in range(order)], axis=1)
-                        logs = _log_shares(grams, _language(name), shared.value)[again]
-                        owner = np.searchsorted(starts, place, side="right") - 1
-                        total[at] += np.bincount(owner, logs, len(at))
-                before = batch.column(batch.num_columns - 1).to_numpy()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before + total)], names=batch.schema.names)
-
-        return add
-
-    for shard in range(shards):
-        rows = rows.mapInArrow(adder(docs.sparkSession.sparkContext.broadcast(_shard(table, shard, shards)), shard), kind)
-    length = F.length(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in others], F.when(length > 0, F.exp(-F.col("perplexity") / (length + 1))).alias("perplexity"),
-        length.cast("long").alias("n_symbols"),
-    )
+    own = F.xxhash64(F.lit(2), F.col(f"`{lang}`").isNull(), F.col(f"`{lang}`"), F.col(f"`{text}`"))
+    left = grams(docs, order, symbols, text, lang, own, shard_rows)
+    sums, met = [], []
+    for size in range(order, 0, -1):
+        shares, contexts = table[size - 1]
+        names, before = _names(size), _names(size)[:-1]
+        found = left.join(shares, names, "left").select(
+            "own", "n", F.log("p").alias("log"), *[F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in names]
+        )
+        met.append(stored(found, "kn-met"))
+        count = F.sum("n") if size == order else F.sum(F.lit(0).cast("long"))
+        sums.append(met[-1].groupBy("own").agg(F.sum(F.col("n") * F.col("log")).alias("log"), count.alias("n")))
+        missed = met[-1].filter("log IS NULL")
+        weight = F.log("weight") if size > 1 else F.log(F.coalesce("weight", F.lit(NO_MODEL)))
+        weighed = missed.join(contexts, before, "inner" if size > 1 else "left")
+        sums.append(weighed.groupBy("own").agg(F.sum(F.col("n") * weight).alias("log"), F.lit(0).cast("long").alias("n")))
+        left = missed.select("own", *_names(size - 1), "n")
+    total = reduce(DataFrame.unionAll, sums).groupBy("own").agg((F.sum("log") / F.sum("n")).alias("mean"))
+    total = stored(total, "kn-sums")
+    discard(*met)
+    rows = docs.select(packed(others).alias("row"), own.alias("own"), symbols[1](text).alias("n_symbols"))
+    rows = rows.join(total, "own", "left").withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(-F.col("mean"))))
+    return unpacked(rows, "row", ["perplexity", "n_symbols"])
 
 
 def judged(
     docs: DataFrame, trusted: Column, keep: Sequence[str] | None = None, order: int = ORDER, quantile: float = QUANTILE,
-    text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS,
+    text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS, symbols: Symbols = CHARACTERS,
 ) -> DataFrame:
     """The columns ``keep`` (all, unless named) with ``perplexity``, ``n_symbols``, the ``threshold`` of the language and
     ``kept``, which replace columns of these names.
 
     ``trusted`` marks the rows the model is trained on, but for a share of texts, by their hash, that it never sees. A
     language's threshold is the given quantile of the perplexities of that share; without any it has none, and its rows
-    are kept. Null and empty texts are not kept. A null language is a language of its own.
+    are kept. Texts without symbols are not kept. A null language is a language of its own.
     """
     marked = docs.select(
         packed(keep or docs.columns).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
@@ -236,8 +195,9 @@ def judged(
     )
     unseen = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(MEASURED)) == 0
     marked = marked.withColumn("measured", F.col("trusted") & unseen)
-    table = model(marked.filter("trusted AND NOT measured"), order)
-    rows = stored(scored(marked, table, order, shard_rows=shard_rows).drop("text"), "kn-scored")
+    table = model(marked.filter("trusted AND NOT measured"), order, symbols=symbols)
+    rows = stored(scored(marked, table, order, shard_rows=shard_rows, symbols=symbols).drop("text"), "kn-scored")
+    discard(*[part for pair in table for part in pair if hasattr(part, "stored_path")])
     limits = rows.filter("measured").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     out = rows.join(stored(limits, "kn-limits"), F.col("lang").eqNullSafe(F.col("of")), "left")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

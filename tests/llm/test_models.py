@@ -93,6 +93,24 @@ def test_perplexity_equals_the_recursion(spark, shard_rows):
         assert found[i] == (pytest.approx(want(text), rel=1e-9) if text else None)
 
 
+def test_scores_leave_the_model_where_it_is(spark, monkeypatch):
+    """Neither the model nor the texts' n-grams are collected or broadcast by the module."""
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("sent to or from the driver")
+
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i % 5}", "en" if i % 2 else None) for i in range(30)], "doc_id long, text string, lang string")
+    with monkeypatch.context() as patch:
+        patch.setattr(SparkContext, "broadcast", refused)
+        for name in ("toArrow", "collect", "toPandas", "toLocalIterator"):
+            patch.setattr(DataFrame, name, refused)
+        out = kneser_ney.scored(docs, kneser_ney.model(docs.filter("doc_id < 10"), 3), 3)
+    found = out.collect()
+    assert len(found) == 30 and len({(r["text"], r["lang"], r["perplexity"]) for r in found}) == 10
+
+
 def test_thresholds_are_per_language_and_columns_stay(spark):
     base = [(i, f"common words of language {i % 3} again and again {i}", "a" if i % 2 else None, True, "clash") for i in range(80)]
     rows = base + [(100, "@@@@ #### $$$$ %%%%", "a", False, None), (101, "any text", "new", False, None), (102, None, "a", False, None)]
