@@ -1,4 +1,4 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model of character n-grams, trained on trusted texts.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model of word n-grams, trained on trusted texts.
 
 Both the counts and the scores are joins and groupings of n-grams. Tasks count the n-grams of their texts, a shuffle sums
 them, lower orders count the distinct left neighbours of an n-gram, and contexts are joined back to their n-grams for the
@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palmares.llm.common import packed, unpacked
+from palmares.llm.common import n_words, packed, unpacked
+from palmares.llm.jaccard import word_hashes
 from palmares.store import discard, stored
 
-ORDER = 4
+ORDER = 3
 QUANTILE = 0.995
 #: One trusted text in so many is kept from the model, and thresholds come from these.
 MEASURED = 4
@@ -40,9 +41,10 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-#: The symbols of a text, and how many there are as a column.
+#: The symbols of a text, and how many there are as a column: code points, or 64-bit hashes of lower-cased words.
 Symbols = tuple[Callable[[str], np.ndarray], Callable[[str], Column]]
 CHARACTERS: Symbols = (_codes, lambda text: F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long"))
+WORDS: Symbols = (word_hashes, lambda text: n_words(f"`{text}`"))
 
 
 def _step(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -180,7 +182,7 @@ def scored(
 
 def judged(
     docs: DataFrame, trusted: Column, keep: Sequence[str] | None = None, order: int = ORDER, quantile: float = QUANTILE,
-    text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS, symbols: Symbols = CHARACTERS,
+    text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS, symbols: Symbols = WORDS,
 ) -> DataFrame:
     """The columns ``keep`` (all, unless named) with ``perplexity``, ``n_symbols``, the ``threshold`` of the language and
     ``kept``, which replace columns of these names.

@@ -93,6 +93,23 @@ def test_perplexity_equals_the_recursion(spark, shard_rows):
         assert found[i] == (pytest.approx(want(text), rel=1e-9) if text else None)
 
 
+def test_words_in_unusual_order_are_less_likely(spark):
+    trusted = ["The cat sat on the mat", "the dog sat on\tthe log", "a dog and a cat", "on the mat a dog sat", "the cat"]
+    others = ["mat the on sat cat the", "the cat sat on the log", "the zebra", "\n"]
+    rows = [(i, t, True) for i, t in enumerate(trusted)] + [(10 + i, t, False) for i, t in enumerate(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").withColumn("lang", F.lit("en"))
+    out = kneser_ney.scored(docs, kneser_ney.model(docs.filter("good"), 3, symbols=kneser_ney.WORDS), 3, symbols=kneser_ney.WORDS)
+    found = {r["doc_id"]: (r["perplexity"], r["n_symbols"]) for r in out.collect()}
+    letters = {}
+    spelled = lambda text: "".join(letters.setdefault(w, chr(0x100 + len(letters))) for w in text.lower().split())
+    want = plain_kneser_ney([spelled(t) for t in trusted], 3)
+    for i, text, _ in rows:
+        assert found[i] == ((pytest.approx(want(spelled(text)), rel=1e-9), len(text.split())) if text.strip() else (None, 0))
+    assert found[10][0] > 1.5 * found[0][0]
+    judged = kneser_ney.judged(docs, F.col("good"), ["doc_id"]).collect()
+    assert {r["doc_id"]: r["n_symbols"] for r in judged} == {i: n for i, (_, n) in found.items()}
+
+
 def test_scores_leave_the_model_where_it_is(spark, monkeypatch):
     """Neither the model nor the texts' n-grams are collected or broadcast by the module."""
     from pyspark import SparkContext
