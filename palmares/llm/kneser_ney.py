@@ -180,27 +180,53 @@ def scored(
     return unpacked(rows, "row", ["perplexity", "n_symbols"])
 
 
+def _left_out(few: DataFrame, order: int, quantile: float, shard_rows: int, symbols: Symbols) -> DataFrame:
+    """(of, threshold) of languages from few texts (lang, text): each text is scored by a model of the others."""
+    name = F.concat_ws("=", F.coalesce("lang", F.lit("?")), F.col("lang").isNull().cast("string"), F.sha2("text", 256))
+    out = few.select(F.col("lang").alias("of"), name.alias("lang"), F.col("text").alias("out"))
+    pairs = stored(out.join(few.withColumnRenamed("lang", "other"), F.col("of").eqNullSafe(F.col("other")) & (F.col("out") != F.col("text"))), "kn-left-out")
+    alone = scored(
+        pairs.select("of", "lang", F.col("out").alias("text")).distinct(), model(pairs.select("lang", "text"), order, symbols=symbols),
+        order, shard_rows=shard_rows, symbols=symbols,
+    )
+    return alone.groupBy("of").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+
+
 def judged(
     docs: DataFrame, trusted: Column, keep: Sequence[str] | None = None, order: int = ORDER, quantile: float = QUANTILE,
-    text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS, symbols: Symbols = WORDS,
+    text: str = "text", lang: str = "lang", shard_rows: int = SHARD_ROWS, symbols: Symbols = WORDS, source: str | None = None,
 ) -> DataFrame:
     """The columns ``keep`` (all, unless named) with ``perplexity``, ``n_symbols``, the ``threshold`` of the language and
-    ``kept``, which replace columns of these names.
+    ``kept``, which replace columns of these names. ``source`` names one more column that tells the threshold's origin.
 
     ``trusted`` marks the rows the model is trained on, but for a share of texts, by their hash, that it never sees. A
-    language's threshold is the given quantile of the perplexities of that share; without any it has none, and its rows
-    are kept. Texts without symbols are not kept. A null language is a language of its own.
+    language's threshold is the given quantile of the perplexities of that share (source ``unseen``). If all or none of a
+    language's trusted texts fall into the share, the model is trained on all of them, and the threshold comes from each
+    of them scored by a model of the others (``left_out``). A language with one trusted text or none has nothing to be
+    judged by: its threshold is null (``none``) and its rows are kept. Texts without symbols are not kept. A null language
+    is a language of its own.
     """
     marked = docs.select(
         packed(keep or docs.columns).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
         F.coalesce(trusted, F.lit(False)).alias("trusted"),
     )
     unseen = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(MEASURED)) == 0
-    marked = marked.withColumn("measured", F.col("trusted") & unseen)
+    good = marked.filter(F.col("trusted") & (symbols[1]("text") > 0)).select("lang", "text", unseen.alias("unseen"))
+    few = good.groupBy(F.col("lang").alias("few")).agg(F.min("unseen").alias("low"), F.max("unseen").alias("high"))
+    few = stored(few.filter("low = high").select("few", F.lit(True).alias("whole")), "kn-few")
+    marked = marked.join(few, F.col("lang").eqNullSafe(F.col("few")), "left")
+    marked = marked.withColumn("measured", F.col("trusted") & unseen & F.col("whole").isNull()).drop("few", "whole")
     table = model(marked.filter("trusted AND NOT measured"), order, symbols=symbols)
     rows = stored(scored(marked, table, order, shard_rows=shard_rows, symbols=symbols).drop("text"), "kn-scored")
     discard(*[part for pair in table for part in pair if hasattr(part, "stored_path")])
     limits = rows.filter("measured").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = limits.filter("threshold IS NOT NULL").withColumn("source", F.lit("unseen"))
+    if not few.isEmpty():
+        texts = stored(good.join(few, F.col("lang").eqNullSafe(F.col("few"))).select("lang", "text").distinct(), "kn-few")
+        limits = limits.unionAll(_left_out(texts, order, quantile, shard_rows, symbols).withColumn("source", F.lit("left_out")))
     out = rows.join(stored(limits, "kn-limits"), F.col("lang").eqNullSafe(F.col("of")), "left")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return unpacked(out.withColumn("kept", kept), "row", ["perplexity", "n_symbols", "threshold", "kept"])
+    out, added = out.withColumn("kept", kept), ["perplexity", "n_symbols", "threshold", "kept"]
+    if source:
+        out, added = out.withColumn(source, F.coalesce("source", F.lit("none"))), [*added, source]
+    return unpacked(out, "row", added)

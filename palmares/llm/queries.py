@@ -118,7 +118,7 @@ def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
 def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
     good = trusted_ids(spark, folder)
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text").join(small(good, good.count()), "doc_id", "left")
-    return kneser_ney.judged(docs, F.col("good"), ["doc_id", "lang"])
+    return kneser_ney.judged(docs, F.col("good"), ["doc_id", "lang"], source="threshold_from")
 
 
 @query("op10_rotated_codes")

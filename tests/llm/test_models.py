@@ -140,6 +140,23 @@ def test_thresholds_are_per_language_and_columns_stay(spark):
     assert empty.collect() == []
 
 
+def test_languages_with_few_trusted_texts_have_a_threshold(spark):
+    draw = np.random.default_rng(3)
+    usual = [" ".join(draw.choice(["the", "a", "cat", "dog", "sat", "on", "mat"], 60, p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.1, 0.05])) for _ in range(40)]
+    draft = spark.createDataFrame([(t,) for t in usual], "text string")
+    share = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(kneser_ney.MEASURED)) == 0
+    seen, unseen = ([r["text"] for r in draft.filter(want).limit(3).collect()] for want in (~share, share))
+    junk = "@@@@ #### $$$$ %%%% &&&&"
+    rows = [(lang, text, True) for lang, texts in ((None, seen), ("b", unseen), ("one", seen[:1])) for text in texts]
+    rows += [(lang, junk, False) for lang in (None, "b", "one", "new")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string, good boolean")
+    found = {r["doc_id"]: r for r in kneser_ney.judged(docs, F.col("good"), ["lang", "doc_id", "good"], source="from").collect()}
+    for i, (lang, _, good) in enumerate(rows):
+        judged = lang in (None, "b")
+        assert found[i]["from"] == ("left_out" if judged else "none") and (found[i]["threshold"] is not None) == judged
+        assert found[i]["kept"] == (good or not judged)
+
+
 def brute_neighbours(rows, top, every):
     rows = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v) and len(v) == 8]
     rows = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
