@@ -26,7 +26,7 @@ RULES = (
 )
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 BAD = "=bad"
-MIN_ROWS, MIN_SHARE, MIN_CONFIDENCE, MAX_TOKENS = 5, 0.001, 0.5, 2
+MIN_ROWS, MIN_SHARE, MIN_CONFIDENCE = 5, 0.001, 0.5
 
 
 def host_of(url: str | Column) -> Column:
@@ -57,10 +57,8 @@ def tokens() -> Column:
 
 def mined_rules(
     labelled: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE,
-    max_tokens: int = MAX_TOKENS,
 ) -> DataFrame:
-    """(rule_tokens, confidence) of rows (tokens, bad): token sets of at most ``max_tokens`` that ``min_rows`` rows and
-    ``min_share`` of all rows hold together with the mark, at least ``min_confidence`` of their rows being bad. A set
+    """(rule_tokens, confidence) of rows (tokens, bad): token sets of any size that ``min_rows`` rows and ``min_share`` of all rows hold together with the mark, at least ``min_confidence`` of their rows being bad. A set
     goes if a subset of it has the same or a higher confidence."""
     n = labelled.count()
     if not n:
@@ -69,7 +67,7 @@ def mined_rules(
     items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     # Half a row below the wanted count, so that rounding of the share cannot miss it.
     found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(items)
-    rules = found.associationRules.filter((F.size("antecedent") <= max_tokens) & (F.get("consequent", F.lit(0)) == BAD))
+    rules = found.associationRules.filter(F.get("consequent", F.lit(0)) == BAD)
     rules = stored(rules.select(F.sort_array("antecedent").alias("rule_tokens"), "confidence"), "url-rules")
     parts = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("token"))
     smaller = rules.select(F.col("rule_tokens").alias("inner_tokens"), F.col("confidence").alias("inner"), F.explode("rule_tokens").alias("token"))

@@ -1,6 +1,8 @@
 """The registered corpus queries: SQL where there is any, shapes, URL rules, and the pipeline against plain Python."""
 
+import random
 import re
+from itertools import combinations
 
 import compare
 import public_tokenizers
@@ -64,6 +66,28 @@ def test_mined_token_sets_block(spark):
     assert {(tuple(r["rule_tokens"]), r["confidence"]) for r in mined.collect()} == {(("a",), 0.5), (("b",), 1.0)}
 
 
+def test_mined_rules_of_any_size_equal_brute_force(spark):
+    draw = random.Random(4)
+    rows = []
+    for _ in range(400):
+        tokens = sorted(t for t in "abcdef" if draw.random() < 0.5)
+        rows.append((tokens, draw.random() < (0.9 if {"a", "b", "c"} <= set(tokens) else 0.95 if {"b", "d", "e", "f"} <= set(tokens) else 0.2)))
+    share = {}
+    for size in range(1, 7):
+        for rule in combinations("abcdef", size):
+            marks = [bad for tokens, bad in rows if set(rule) <= set(tokens)]
+            if sum(marks) >= 5 and sum(marks) / len(marks) >= 0.5:
+                share[rule] = sum(marks) / len(marks)
+    want = {r: c for r, c in share.items() if not any(set(o) < set(r) and d >= c for o, d in share.items())}
+    found = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_confidence=0.5).collect()
+    assert {tuple(r["rule_tokens"]): pytest.approx(r["confidence"]) for r in found} == want and len(found) == len(want)
+    assert max(map(len, want)) >= 3
+    pages = [(i, f"x://h{i % 2}.net/{'s' if i & 2 else 'r'}/{'p' if i & 4 else 'q'}/{i}") for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 8 == 7) for i in range(160)], "page_id long, bad boolean")
+    judged = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), labels, min_confidence=0.9).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] % 8 == 7) for r in judged)
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
