@@ -125,3 +125,15 @@ def test_pipeline_stages(spark):
     before, after = steps["byte_bpe"]
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     assert sorted((r["doc_id"], r["n_tokens"]) for r in after) == sorted((r["doc_id"], len(own.encode_ordinary(r["text"]))) for r in before)
+
+
+def test_pipeline_keeps_columns_named_like_added_ones(spark):
+    rows = [(i, f"some words of text {i}" if i else "12 34", "en" if i % 2 else None, "src", 5, f"own {i}", i + 0.5, "s", "e", -i) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, shard string, epoch string, n_words long"
+    docs = spark.createDataFrame(rows, schema)
+    found = corpus_pipeline.language_id(spark, docs, FOLDER)
+    assert found.columns == docs.columns and sorted(map(tuple, found.collect()), key=lambda r: r[0]) == rows[1:]
+    mix = corpus_pipeline.source_mix(spark, docs, FOLDER)
+    assert mix.columns == docs.columns and {tuple(r)[5:] for r in mix.collect()} <= {r[5:] for r in rows}
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t in enumerate(["12 34", "words", None])], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, FOLDER).collect()] == [1]
