@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palmares.llm import bpe, exact, jaccard, kneser_ney, language, mixing, nearest, sharding, substrings, urls
+from palmares.llm import bisectors, bpe, exact, jaccard, kneser_ney, language, lexicon, mixing, nearest, ranked, sharding, substrings, urls
 from palmares.llm.common import ascii_lower, small, text_or_empty
 from palmares.sources.files import table
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -124,3 +125,19 @@ def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_rotated_codes")
 def rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(table(spark, folder, "embeddings"))
+
+
+@query("op11_word_bpe")
+def word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_digests(lexicon.tokenised(docs, lexicon.build(docs, WORD_VOCABULARY), decoded="decoded"))
+
+
+@query("op12_bisector_clusters", bisectors.oracle())
+def bisector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return bisectors.clusters(table(spark, folder, "embeddings")).drop("centroid")
+
+
+@query("op13_ranked_search", ranked.oracle())
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
