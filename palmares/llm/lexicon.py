@@ -71,24 +71,41 @@ def _category(first: str) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def _split(letters: str, digits: str) -> re.Pattern:
+    return re.compile(f"[{letters}]+|[{digits}]|'(?:[stmd]|re|ve|ll)|[^{SPACE}{letters}{digits}]+")
+
+
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Words, marks that end what NFC may compose, and upper-case letters that Python does not know."""
-    letters, digits = _ranges(_category("L") + MORE_LETTERS), _ranges(_category("N") + MORE_DIGITS)
-    words = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+"
-    return re.compile(words), re.compile(f"([{_ranges(UNORDERED)}])"), re.compile(f"[{''.join(map(chr, MORE_LOWER))}]")
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """Words of any text and of texts within 16 bits a character, marks that end what NFC may compose, and upper-case
+    letters that Python does not know. Classes within 16 bits are looked up in one step."""
+    letters, digits = _category("L") + MORE_LETTERS, _category("N") + MORE_DIGITS
+    narrow = [[(a, min(b, 0xFFFF)) for a, b in some if a <= 0xFFFF] for some in (letters, digits)]
+    marks, upper = re.compile(f"([{_ranges(UNORDERED)}])"), re.compile(f"[{''.join(map(chr, MORE_LOWER))}]")
+    return _split(_ranges(letters), _ranges(digits)), _split(*map(_ranges, narrow)), marks, upper
+
+
+_ASCII_WORDS, _BEYOND_LATIN = _split("a-z", "0-9"), re.compile("[^\x00-\u02ff]")
 
 
 def normalised(text: str) -> str:
     """NFC, then every character in lower case by itself."""
-    if text.isascii():
+    if text.isascii() or not _BEYOND_LATIN.search(text):
         return text.lower()
-    _, unordered, more_upper = _patterns()
-    if not unicodedata.is_normalized("NFC", text) or unordered.search(text):
-        text = "".join(unicodedata.normalize("NFC", part) for part in unordered.split(text))
+    _, _, marks, upper = _patterns()
+    if not unicodedata.is_normalized("NFC", text) or marks.search(text):
+        text = "".join(unicodedata.normalize("NFC", part) for part in marks.split(text))
     # Python's lower() looks around a capital sigma; the tokenizer does not.
-    text = text.replace("Σ", "σ").lower()
-    return text.translate(MORE_LOWER) if more_upper.search(text) else text
+    text = text.replace("\u03a3", "\u03c3").lower()
+    return text.translate(MORE_LOWER) if upper.search(text) else text
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a normalised text."""
+    if text.isascii():
+        return _ASCII_WORDS.findall(text)
+    wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+    return _patterns()[0 if wide else 1].findall(text)
 
 
 class Vocabulary:
@@ -250,12 +267,11 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token is a word by itself, preceded by a line break, which no word holds."""
-        find = _patterns()[0].findall
         if self.special is None or not self.special.search(text):
-            return find(normalised(text))
+            return split_words(normalised(text))
         found = []
         for at, part in enumerate(self.special.split(text)):
-            found.extend(["\n" + part] if at % 2 else find(normalised(part)))
+            found.extend(["\n" + part] if at % 2 else split_words(normalised(part)))
         return found
 
     def learn(self, words: Iterable[str]) -> None:
