@@ -13,9 +13,10 @@ from palmares.operators.aggregates import category_pivot, count_by, won, yearly_
 from palmares.operators.encode import features, first_seen_index, label_index, standardise
 from palmares.operators.filters import apply_filters, expand_values, member
 from palmares.operators.impute import fill_body_measures, fill_with_group_mean
-from palmares.operators.joins import lookup, range_label
+from palmares.operators.joins import lookup
 from palmares.operators.projection import insert_after
 from palmares.operators.quality import drop_null_keys, drop_report, null_profile
+from palmares.operators.ranges import range_label
 from palmares.operators.series import fixed_horizon, horizon, with_cyclic_year
 from palmares.plans.roles import DEFAULT_CODE, code_lookup, participation, raw_participation
 from palmares.schemas import MEDAL_NAMES, NO_MEDAL, SEX_NAMES

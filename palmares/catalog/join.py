@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palmares.catalog.registry import half_up, query
 from palmares.operators.aggregates import count_by, distinct_count_by, typical_category, won, yearly_profile
 from palmares.operators.impute import with_group_mean
-from palmares.operators.joins import attach, keep_listed, lookup, match_listed, range_label
+from palmares.operators.joins import attach, keep_listed, lookup, match_listed
 from palmares.operators.quality import missing_keys
+from palmares.operators.ranges import range_label
 from palmares.operators.ranking import top_k
 from palmares.plans.ages import season_top_sports
 from palmares.plans.medals import medal_map

@@ -58,13 +58,17 @@ def decade_bin(column: str = "age") -> Column:
 
 
 def equal_width_edges(df: DataFrame, column: str, bins: int = 8, digits: int = 2) -> DataFrame:
-    """One row: the ``bins + 1`` rounded edges; the outer ones are rounded outwards, so that every value lies between."""
-    lo, hi = F.min(column), F.max(column)
+    """One row: the ``bins + 1`` rounded edges; the outer ones are rounded outwards, so that every value lies between.
+
+    NaN counts as missing. Without a value the edges are null.
+    """
+    known = F.when(~F.isnan(column), F.col(column))
+    lo, hi = F.min(known), F.max(known)
     inner = [round_even(lo + (hi - lo) / bins * i, digits) for i in range(1, bins)]
     first, last, unit = round_even(lo, digits), round_even(hi, digits), 10.0**-digits
     first = F.when(first > lo, round_even(first - unit, digits)).otherwise(first)
     last = F.when(last < hi, round_even(last + unit, digits)).otherwise(last)
-    return df.agg(F.array(first, *inner, last).alias("edges"))
+    return df.agg(F.when(lo.isNotNull(), F.array(first, *inner, last)).alias("edges"))
 
 
 def equal_width_bins(
@@ -72,18 +76,17 @@ def equal_width_bins(
 ) -> DataFrame:
     """Equal-width bins between the extremes of ``column`` with labels such as ``18.51-20.56``.
 
-    The ``bins + 1`` edges are read once, so the bins are plain comparisons with numbers. Only the first
-    ``labelled`` bins get a label; rows of the others are dropped, or kept with null when ``drop`` is false. A
-    column with one single value falls into the first bin.
+    The ``bins + 1`` edges are a one-row subquery of the plan, so nothing runs before the rows are asked for. Only the
+    first ``labelled`` bins get a label; rows of the others, of null and of NaN are dropped, or kept with null when ``drop`` is
+    false. A column with one single value falls into the first bin.
     """
-    edges = equal_width_edges(df, column, bins, digits).first()["edges"]
-    if edges[0] is None:
-        label = F.lit(None).cast("string")
-    else:
-        starts = [edges[0]] + [round(e + 10.0**-digits, digits) for e in edges[1:]]
-        labels = [f"{starts[i]}-{edges[i + 1]}" if i < labelled else None for i in range(bins)]
-        label = fixed_bins(column, edges, labels)
-        if edges[0] == edges[-1]:
-            label = F.when(F.col(column) == edges[0], F.lit(labels[0]))
-    out = df.withColumn(target, label)
+    edges = equal_width_edges(df, column, bins, digits).scalar()
+    value = F.col(column)
+    # Edges that rounding has made equal hold nothing between them; the last bin is closed on both ends.
+    reached = reduce(lambda n, i: n + F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0), range(bins + 1), F.lit(0))
+    bin_of = F.when(F.get(edges, F.lit(0)) == F.get(edges, F.lit(bins)), F.when(value == F.get(edges, F.lit(0)), 1)).otherwise(F.least(reached, F.lit(bins)))
+    start = F.get(edges, bin_of - 1)
+    start = F.when(bin_of > 1, round_even(start + 10.0**-digits, digits)).otherwise(start)
+    label = F.concat_ws("-", start.cast("string"), F.get(edges, bin_of).cast("string"))
+    out = df.withColumn(target, F.when((bin_of >= 1) & (bin_of <= labelled) & (value <= F.get(edges, F.lit(bins))), label))
     return out.filter(F.col(target).isNotNull()) if drop else out

@@ -1,4 +1,4 @@
-"""Joins: per-group values, lookups with a default, membership, range labels.
+"""Joins: per-group values, lookups with a default, membership.
 
 No side is broadcast by a hint unless a LIMIT bounds it. Every other side is a file or a stored table, whose
 size the planner reads before it chooses between broadcast and sort-merge.
@@ -8,14 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from palmares.functions.bins import label_bounds
 from palmares.store import stored
 
-#: Two numbers joined by a hyphen, whole or not.
-NUMBERS = r"^\s*\d+(\.\d+)?\s*-\s*\d+(\.\d+)?\s*$"
-
 
 def attach(df: DataFrame, values: DataFrame, on: Sequence[str] | str, how: str = "left", nulls: bool = False) -> DataFrame:
     """Join per-group values back to the rows of the groups; with ``nulls`` a null key is a group like any other.
@@ -52,27 +48,3 @@ def keep_listed(df: DataFrame, keys: DataFrame, on: Sequence[str] | str) -> Data
 def match_listed(df: DataFrame, keys: DataFrame, on: Sequence[str] | str) -> DataFrame:
     """Rows whose key is in the list, once per occurrence there."""
     return df.join(keys, on, "inner")
-
-
-def range_label(df: DataFrame, value: str | Column, labels: DataFrame, label: str, target: str) -> DataFrame:
-    """First ``lo-hi`` label, in label order, whose closed integer range holds the floor of the value, else null.
-
-    Null labels and texts that are no range are passed over; a range with fractions or in the wrong order raises, since it
-    would never match.
-
-    The ranges are spread over their integers, which turns the range condition into an equality.
-    """
-    lo, hi = label_bounds(F.col(label))
-    spread = (
-        labels.select(F.col(label).alias("_label"), lo.alias("_lo"), hi.alias("_hi"))
-        .filter(
-            F.when(F.col("_lo") <= F.col("_hi"), F.lit(True))
-            .when(F.col("_label").rlike(NUMBERS), F.raise_error(F.concat(F.lit("not a range of integers: "), "_label")).cast("boolean"))
-            .otherwise(F.lit(False))
-        )
-        .select("_label", "_lo", F.explode(F.sequence("_lo", "_hi")).alias("_at"))
-        .groupBy("_at")
-        .agg(F.min_by("_label", "_lo").alias(target))
-    )
-    floor = F.floor(F.col(value) if isinstance(value, str) else value)
-    return df.withColumn("_at", floor.cast("int")).join(spread, "_at", "left").drop("_at")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from palmares.functions.scalar import decorated
 from palmares.operators.aggregates import category_pivot, count_by, share, typical_category, won
 from palmares.operators.filters import apply_filters
-from palmares.operators.joins import keep_listed, range_label
+from palmares.operators.joins import keep_listed
+from palmares.operators.ranges import range_label
 from palmares.operators.ranking import top_k_per_group
 from palmares.store import stored
 

@@ -10,9 +10,10 @@ from palmares.functions.scalar import century, cyclic, decorated, word
 from palmares.operators.encode import first_seen_index, label_index, standardise
 from palmares.operators.filters import apply_filters, expand_values, member
 from palmares.operators.impute import fill_body_measures, fill_with_group_mean
-from palmares.operators.joins import lookup, range_label
+from palmares.operators.joins import lookup
 from palmares.operators.projection import insert_after
 from palmares.operators.quality import covers, drop_report, missing_keys, null_profile
+from palmares.operators.ranges import range_label
 from palmares.sources.files import clean_lookup
 
 

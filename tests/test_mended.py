@@ -8,7 +8,6 @@ from palmares.models.forecast import ar_model, cross_validate, forecast_per_seri
 from palmares.operators.filters import apply_filters
 from palmares.operators.gaps import with_group_count
 from palmares.operators.impute import fill_body_measures, fill_with_group_mean
-from palmares.operators.joins import range_label
 from palmares.operators.sampling import split, time_folds
 from palmares.sources.files import export_csv, read_fact_csv
 from pyspark.sql import functions as F, types as T
@@ -58,14 +57,6 @@ def test_outer_edges_hold_every_value(spark):
     assert equal_width_bins(rows, "x", "bin", labelled=8).count() == 101
 
 
-def test_malformed_ranges_raise(spark):
-    values = spark.createDataFrame([(19.2,)], "x double")
-    labels = spark.createDataFrame([("18-20",), (None,), ("x",)], "label string")
-    assert range_label(values, "x", labels, "label", "found").first()["found"] == "18-20"
-    with pytest.raises(Exception, match="not a range of integers"):
-        range_label(values, "x", labels.unionAll(spark.createDataFrame([("18.51-20.56",)], "label string")), "label", "found").collect()
-
-
 def test_text_values_on_number_columns(spark, tmp_path):
     spark.createDataFrame([(24.0, 1995), (25.5, 1996), (None, 1995)], "age double, year int").write.parquet(str(tmp_path / "t"))
     rows = spark.read.parquet(str(tmp_path / "t"))
