@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import FractionalType
 
 from palmares.functions.scalar import salted_hash
+from palmares.store import stored
 
 
 def _hashed(df: DataFrame, keys: Sequence[str], seed: int) -> Column:
@@ -22,26 +23,58 @@ def split(df: DataFrame, keys: Sequence[str], train_pct: int, seed: int = 42, ta
     return df.withColumn(target, F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
-def exact_sample(df: DataFrame, keys: Sequence[str], pct: int, seed: int = 42, buckets: int = 1 << 20) -> DataFrame:
-    """Exactly ``floor(rows * pct / 100)`` rows: those with the smallest hash of their unique key.
+def exact_samples(df: DataFrame, keys: Sequence[str], pcts: Sequence[int], seed: int = 42, digit_bits: int = 10, few: int = 1024) -> dict[int, DataFrame]:
+    """For each percentage exactly ``floor(rows * pct / 100)`` rows: the first by hash of their unique key, then by the key.
 
-    Hash buckets below the boundary are taken whole; only the one bucket that the boundary cuts is ordered.
+    The rows are stored with their place in that order, so the input is read once for all samples; the boundary is then found
+    digit by digit. Each level counts the rows of the boundary's digit so far by the next digit, at most ``2 ** digit_bits``
+    numbers for the driver. Only the last ``few`` rows around the boundary are sorted (more only where hashes are equal).
+    Samples of one seed contain each other.
     """
-    hashed = df.withColumn("_hash", _hashed(df, keys, seed))
-    hashed = hashed.withColumn("_bucket", F.col("_hash") % buckets)
-    sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.floor(F.sum("_size").over(Window.partitionBy()) * pct / 100)
-    cut = (
-        sizes.select("_bucket", "_size", F.sum("_size").over(running).alias("_upto"), wanted.alias("_wanted"))
-        .filter(F.col("_upto") > F.col("_wanted"))
-        .agg(F.min(F.struct("_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_size")).alias("_rest"))).alias("cut"))
-        .scalar()
-    )
-    whole = hashed.filter(cut["_bucket"].isNull() | (F.col("_bucket") < cut["_bucket"]))
-    position = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys))
-    partly = hashed.filter(F.col("_bucket") == cut["_bucket"]).withColumn("_at", position)
-    return whole.unionByName(partly.filter(F.col("_at") <= cut["_rest"]).drop("_at")).drop("_hash", "_bucket")
+    hashed = _hashed(df, keys, seed)
+    # The order of former versions: by the last 20 of the 60 bits, then by the others.
+    place = F.shiftleft(hashed.bitwiseAND((1 << 20) - 1), 40).bitwiseOR(F.shiftright(hashed, 20))
+    rows = stored(df.withColumn("_place", place), "placed")
+    counts: dict[tuple[int, int], dict[int, int]] = {}
+
+    def by_digit(low: int, shift: int, bits: int) -> dict[int, int]:
+        """Counts of the rows within ``bits`` digits above ``shift`` of the prefix that starts at ``low``."""
+        if (low, shift) not in counts:
+            part = rows.filter(F.col("_place").between(low, low + (1 << (shift + bits)) - 1)) if shift + bits < 60 else rows
+            digit = F.shiftright(F.col("_place") - low, shift)
+            counts[low, shift] = {r["digit"]: r["n"] for r in part.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        return counts[low, shift]
+
+    def first(pct: int) -> DataFrame:
+        low, shift = 0, 60 - digit_bits
+        sizes = by_digit(0, shift, digit_bits)
+        rest = sum(sizes.values()) * pct // 100
+        while True:
+            inside = 0
+            for digit in sorted(sizes):
+                inside = sizes[digit]
+                if rest < inside:
+                    low += digit << shift
+                    break
+                rest -= inside
+            else:
+                # The boundary lies behind the last row of this prefix.
+                return rows.filter(F.col("_place") <= low + (max(sizes, default=0) << shift) + (1 << shift) - 1)
+            if rest == 0:
+                return rows.filter(F.col("_place") < low)
+            if inside <= few or shift == 0:
+                edge = rows.filter(F.col("_place").between(low, low + (1 << shift) - 1))
+                return rows.filter(F.col("_place") < low).unionByName(edge.orderBy("_place", *keys).limit(rest))
+            bits = min(digit_bits, shift)
+            shift -= bits
+            sizes = by_digit(low, shift, bits)
+
+    return {pct: first(pct).drop("_place") for pct in pcts}
+
+
+def exact_sample(df: DataFrame, keys: Sequence[str], pct: int, seed: int = 42, digit_bits: int = 10, few: int = 1024) -> DataFrame:
+    """One of ``exact_samples``."""
+    return exact_samples(df, keys, [pct], seed, digit_bits, few)[pct]
 
 
 def time_folds(series: DataFrame, time: str, folds: int = 5, by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from palmares.operators.aggregates import category_pivot, hierarchy, share, typi
 from palmares.operators.gaps import gap_label, second_success, with_group_count, year_steps
 from palmares.operators.metrics import binary_metrics, class_report
 from palmares.operators.ranking import number_rows, one_per_key, top_k, top_k_per_group
-from palmares.operators.sampling import exact_sample, split, time_folds
+from palmares.operators.sampling import exact_sample, exact_samples, split, time_folds
 from palmares.operators.series import history_with_future, horizon, lag_features
 from palmares.plans.doubles import achievement_series, age_at_first_gold, cohort, double_winners
 
@@ -102,14 +102,20 @@ def test_hierarchy_levels_add_up(spark):
     assert sum(r["share"] for r in share(rows, "q", "v").collect()) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("pct", [0, 1, 20, 60, 100])
-def test_exact_sample_size(spark, pct):
+@pytest.mark.parametrize("bits, few", [(10, 1024), (3, 1), (7, 20)])
+def test_exact_samples_are_the_first_by_hash(spark, bits, few):
     rows = spark.range(997).withColumn("k", F.col("id") * 3)
-    sample = exact_sample(rows, ["k"], pct, buckets=8).collect()
-    assert len(sample) == 997 * pct // 100 == len({r["id"] for r in sample})
-    expected = rows.withColumn("h", salted_hash(["k"], 42)).collect()
-    expected = sorted(expected, key=lambda r: (r["h"] % 8, r["h"]))[: len(sample)]
-    assert {r["id"] for r in sample} == {r["id"] for r in expected}
+    order = sorted(rows.withColumn("h", salted_hash(["k"], 42)).collect(), key=lambda r: (r["h"] % (1 << 20), r["h"]))
+    for pct, sample in exact_samples(rows, ["k"], (0, 1, 20, 60, 100), digit_bits=bits, few=few).items():
+        assert sample.columns == ["id", "k"]
+        assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in order[: 997 * pct // 100])
+    assert exact_sample(rows.limit(0), ["k"], 50).count() == 0
+
+
+def test_exact_sample_of_keys_that_repeat(spark):
+    rows = spark.range(3000).select(F.lit(7).alias("k"), "id")
+    assert exact_sample(rows, ["k", "id"], 10, digit_bits=6, few=8).count() == 300
+    assert exact_sample(rows, ["k"], 10, digit_bits=6, few=8).count() == 300
 
 
 def test_split_is_complete_and_repeatable(spark):

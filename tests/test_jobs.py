@@ -1,22 +1,13 @@
-"""Sources and sinks, the preparation from files, forecasts on known series, and plan shape."""
+"""Sources and sinks, the preparation from files, and plan shape."""
 
-import subprocess
-import sys
-
-import numpy as np
 import pytest
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import compare
 from palmares.catalog import QUERIES, SQL
 from palmares.jobs import load, prepare_table
-from palmares.models.forecast import (
-    ar_model, autoregression, boosted_trees, cross_validate, forecast_per_series, grow_tree, tree_values, trend_and_season,
-)
 from palmares.operators.filters import apply_filters, expand_values
 from palmares.operators.joins import attach
-from palmares.operators.series import history_with_future, horizon
 from palmares.plans.defaults import DOUBLE_FILTERS, FLOW_FILTERS
 from palmares.plans.etl import prepare, prepare_early
 from palmares.plans.medals import medal_groups
@@ -149,57 +140,6 @@ def test_shared_folder_must_be_named_on_a_cluster():
     assert shared_dir(Session("local[2]")) == shared_dir(Session("local[2]"))
 
 
-def test_autoregression_recovers_its_process():
-    rng = np.random.default_rng(3)
-    dx = [1.0, 2.0]
-    for _ in range(200):
-        dx.append(0.6 * dx[-1] - 0.3 * dx[-2] + rng.normal(0, 0.01))
-    level = np.cumsum([100.0, *dx])
-    ahead = autoregression(level, 3, lags=2)
-    design = np.column_stack([np.array(dx)[1:-1], np.array(dx)[:-2]])
-    a, b = np.linalg.lstsq(design, np.array(dx)[2:], rcond=None)[0]
-    path = list(dx)
-    for _ in range(3):
-        path.append(a * path[-1] + b * path[-2])
-    assert ahead == pytest.approx(level[-1] + np.cumsum(path[-3:]))
-
-
-def test_short_series_repeat_their_last_value():
-    assert autoregression(np.array([5.0, 7.0]), 2).tolist() == [7.0, 7.0]
-    assert autoregression(np.array([5.0]), 2).tolist() == [5.0, 5.0]
-
-
-def test_trend_continues_a_line():
-    years = np.arange(1960.0, 2000.0)
-    ahead = trend_and_season(years, 3 * years - 5000, np.array([2002.0, 2004.0]), ridge=10.0)
-    assert ahead == pytest.approx([3 * 2002 - 5000, 3 * 2004 - 5000], rel=0.02)
-
-
-def test_tree_finds_the_best_split():
-    x = np.array([[1.0, 5.0], [2.0, 1.0], [3.0, 5.0], [4.0, 1.0]])
-    y = np.array([1.0, 1.0, 9.0, 9.0])
-    node = grow_tree(x, y, 3)
-    assert node[:2] == (0, 2.5) and tree_values(node, x).tolist() == y.tolist()
-    assert boosted_trees(x, y, np.array([[0.0, 0.0], [9.0, 0.0]]), 500, 3, 0.1) == pytest.approx([1.0, 9.0], abs=1e-6)
-    assert grow_tree(x, np.full(4, 2.0), 3) == 2.0
-
-
-def test_models_reach_workers_without_the_package(tmp_path):
-    (tmp_path / "model").write_bytes(cloudpickle.dumps(ar_model(lags=1)))
-    code = "import pickle, numpy as np; m = pickle.load(open('model', 'rb')); print(m(None, np.array([1., 2., 3., 4.]), [0]))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert done.stdout.strip() == "[5.]", done.stderr
-
-
-def test_forecast_and_validation_frames(spark):
-    series = spark.createDataFrame([(g, 1980 + 2 * i, float(10 * i + (g == "b"))) for g in "ab" for i in range(14)], "g string, year int, v double")
-    rows = history_with_future(series, horizon(series, "year", 3, 2, ["g"]))
-    found = {(r["g"], r["year"]): r["yhat"] for r in forecast_per_series(rows, ["g"], "year", "v", ar_model(lags=1)).collect()}
-    assert found == pytest.approx({(g, 2008 + 2 * i): 140 + 10 * i + (g == "b") for g in "ab" for i in range(3)})
-    errors = cross_validate(series, ["g"], "year", "v", ar_model(lags=1)).collect()
-    assert len(errors) == 10 and all(r["mae"] == pytest.approx(0, abs=1e-6) for r in errors)
-
-
 LAZY = sorted(n for n in QUERIES if not n.startswith(("io", "ml", "q0b", "q1e", "q2e", "q3", "q4f")))
 
 

@@ -4,7 +4,7 @@ import random
 
 from palmares.functions.bins import equal_width_bins
 from palmares.models.classify import fit_classifier, score, tree
-from palmares.models.forecast import ar_model, cross_validate, forecast_per_series
+from palmares.models.forecast import Autoregression
 from palmares.operators.filters import apply_filters
 from palmares.operators.gaps import with_group_count
 from palmares.operators.impute import fill_body_measures, fill_with_group_mean
@@ -46,7 +46,7 @@ def test_short_series_are_reported(spark):
     folds = time_folds(rows, "t", 5, ["s"])
     assert sorted((r["t"], r["fold"], r["role"]) for r in folds.filter("s = 'b'").collect()) == [(1, None, "too_short"), (2, None, "too_short")]
     assert folds.filter("s = 'a' AND role = 'test'").count() == 10
-    errors = cross_validate(rows, ["s"], "t", "v", ar_model(1)).collect()
+    errors = Autoregression(1).validate(rows, ["s"], "t", "v").collect()
     assert [(r["fold"], r["mae"], r["status"]) for r in errors if r["s"] == "b"] == [(None, None, "too_short")]
     # The first fold trains on two rows, too few for a lag.
     assert {r["fold"]: r["status"] for r in errors if r["s"] == "a"} == {1: "repeats last value", 2: "ok", 3: "ok", 4: "ok", 5: "ok"}
@@ -93,7 +93,7 @@ def test_status_names_the_order_used(spark):
     rows = spark.createDataFrame(
         [(s, t, "history", float(t * t)) for s, n in (("long", 12), ("short", 7), ("one", 1)) for t in range(n)]
         + [(s, 99, "forecast", None) for s in ("long", "short", "one", "none")], "s string, t int, kind string, v double")
-    found = {r["s"]: (r["status"], r["yhat"] is None) for r in forecast_per_series(rows, ["s"], "t", "v", ar_model()).collect()}
+    found = {r["s"]: (r["status"], r["yhat"] is None) for r in Autoregression().forecast(rows, ["s"], "t", "v").collect()}
     assert found == {"long": ("ok", False), "short": ("lags=2", False), "one": ("repeats last value", False), "none": ("no history", True)}
 
 
