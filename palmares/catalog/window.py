@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palmares.catalog.join import TOP_SQL
 from palmares.catalog.registry import query
 from palmares.operators.aggregates import count_by
-from palmares.operators.gaps import gap_label, second_success, with_group_count, year_steps
+from palmares.operators.gaps import gap_label, row_lag, second_success, with_group_count, year_steps
 from palmares.operators.impute import fill_with_group_mean, with_group_mean
 from palmares.operators.quality import covers
 from palmares.operators.ranking import one_per_key, top_k, top_k_per_group
@@ -35,6 +35,21 @@ def lagged_years(spark: SparkSession, folder: str) -> DataFrame:
     return steps.filter(F.col("rows") > 0).groupBy("gap").agg(F.sum("rows").alias("n"))
 
 
+@query("wn02_row_lag", """
+SELECT name, year, prev_year, year - prev_year AS gap FROM (SELECT name, year, lag(year) OVER (PARTITION BY name ORDER BY year) AS prev_year FROM rv WHERE medal = 'Gold')""")
+def lagged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    golds = participation(spark, folder).filter(F.col("medal") == "Gold").select("name", "year")
+    return row_lag(golds, ["name"], ["year"], "year", "prev_year").withColumn("gap", F.col("year") - F.col("prev_year"))
+
+
+@query("wn02_hot_key_lag", """
+SELECT l_orderkey, l_linenumber, l_returnflag, lag(l_orderkey) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS former FROM lineitem""", roles=False)
+def lagged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The order of the line before, in each of three groups that hold all rows between them."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return row_lag(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber"], "l_orderkey", "former")
+
+
 @query("wn03_first_row", """
 SELECT age, sex, sport, count(*) AS n FROM (SELECT age, sex, sport, row_number() OVER (PARTITION BY name ORDER BY year, age, sport, event, sex) AS r
   FROM rv WHERE medal = 'Gold') WHERE r = 1 GROUP BY ALL""")

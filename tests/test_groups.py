@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palmares.functions.scalar import salted_hash
 from palmares.operators.aggregates import category_pivot, hierarchy, share, typical_category, with_root_share
-from palmares.operators.gaps import gap_label, second_success, with_group_count, year_steps
+from palmares.operators.gaps import gap_label, row_lag, second_success, with_group_count, year_steps
 from palmares.operators.metrics import binary_metrics, class_report
 from palmares.operators.ranking import number_rows, one_per_key, top_k, top_k_per_group
 from palmares.operators.sampling import exact_sample, exact_samples, split, time_folds
@@ -54,6 +54,21 @@ def test_year_steps_hold_the_row_wise_lag(spark, history):
     assert +found == +expected
 
 
+def test_row_lag_equals_a_window_and_splits_a_hot_key(spark):
+    draw = random.Random(2)
+    rows = [(draw.choice(["hot"] * 9 + ["a", "b", None]), draw.choice([None, *range(40)]), i, draw.choice([None, 1.5, 2.5])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, year int, i int, v double")
+    out = row_lag(df, ["k"], ["year"], "v", "before", ["i"])
+    assert out.columns == ["k", "year", "i", "v", "before"]
+    want, last = {}, {}
+    for k, year, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        want[i], last[k] = last.get(k), v
+    assert {r["i"]: r["before"] for r in out.collect()} == want
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lag(v" in line]
+    assert windows and all("_range" in line for line in windows)
+    assert row_lag(df.limit(0), ["k"], ["year"], "v", "before").collect() == []
+
+
 def test_group_count_keeps_all_rows(spark, history):
     sizes = Counter(name for name, _ in history)
     rows = with_group_count(spark.createDataFrame(history, "name string, year int"), "name", "n").collect()
