@@ -12,7 +12,7 @@ from palmares.plans.etl import split_games
 from palmares.plans.medals import medal_groups, medal_table, yearly_features
 from palmares.plans.roles import DEFAULT_CODE, code_rows, participation, raw_participation
 from palmares.schemas import LOOKUP, RAW
-from palmares.sources.files import clean_lookup, export_csv, read_fact_csv
+from palmares.sources.files import bad_cells, clean_lookup, export_csv, read_fact_csv
 from palmares.sources.tables import append_table, create_database, list_tables, overwrite_table, peek
 from palmares.store import new_path
 
@@ -24,21 +24,45 @@ def new_database(spark: SparkSession) -> str:
     return name
 
 
+NOTED_SQL = "noted AS (SELECT *, CASE id % 5 WHEN 0 THEN name || ' \"' || sport || '\", ' || city WHEN 1 THEN name || chr(10) || '\"' || city || ',\"' || chr(10) ELSE name END AS note FROM raw)"
+
+
+def exported_fact(spark: SparkSession, folder: str) -> str:
+    """The raw rows as CSV files whose names hold quotes, commas and line breaks, and whose ages are a text in some rows."""
+    path, id_ = new_path(spark, "fact-csv"), F.col("id") % 5
+    quoted = F.concat("name", F.lit(' "'), "sport", F.lit('", '), "city")
+    broken = F.concat("name", F.lit('\n"'), "city", F.lit(',"\n'))
+    rows = split_games(raw_participation(spark, folder)).withColumn("name", F.when(id_ == 0, quoted).when(id_ == 1, broken).otherwise(F.col("name")))
+    rows = rows.withColumn("age", F.when(F.col("id") % 7 == 3, F.lit("old")).otherwise(F.col("age").cast("string")))
+    export_csv(rows.select(*RAW.fieldNames()), path)
+    return path
+
+
 @query("io02_csv_scan", """
-SELECT sport, count(*) AS n, count(sex) AS n_sex, count(age) AS n_age, count(height) AS n_height,
-  count(weight) AS n_weight, count(medal) AS n_medal, sum(age) AS sum_age, min(split_part(games, ' ', 1)::INTEGER) AS first_year
-FROM raw GROUP BY sport""")
+SELECT sport, count(*) AS n, count(sex) AS n_sex, count(age) FILTER (WHERE id % 7 <> 3) AS n_age, count(height) AS n_height,
+  count(weight) AS n_weight, count(medal) AS n_medal, sum(age) FILTER (WHERE id % 7 <> 3) AS sum_age, min(split_part(games, ' ', 1)::INTEGER) AS first_year,
+  count(DISTINCT note) AS n_notes, sum(length(note))::BIGINT AS letters
+FROM noted GROUP BY sport""", NOTED_SQL)
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
-    path = new_path(spark, "fact-csv")
-    export_csv(split_games(raw_participation(spark, folder)).select(*RAW.fieldNames()), path)
-    return read_fact_csv(spark, path).groupBy("sport").agg(
+    return read_fact_csv(spark, exported_fact(spark, folder)).groupBy("sport").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(c).alias(f"n_{c}") for c in ("sex", "age", "height", "weight", "medal")],
         F.sum("age").alias("sum_age"),
         F.min("year").alias("first_year"),
+        F.countDistinct("name").alias("n_notes"),
+        F.sum(F.length("name")).alias("letters"),
     )
 
 
+@query("io02_bad_cells", """
+SELECT "column", n, CASE "column" WHEN 'sex' THEN no_sex WHEN 'age' THEN no_age WHEN 'medal' THEN no_medal END AS n_missing, CASE "column" WHEN 'age' THEN bad ELSE 0 END AS n_bad
+FROM (SELECT count(*) AS n, count(*) - count(sex) AS no_sex, count(*) FILTER (WHERE age IS NULL AND id % 7 <> 3) AS no_age, count(*) - count(medal) AS no_medal,
+  count(*) FILTER (WHERE id % 7 = 3) AS bad FROM raw), (SELECT unnest(['sex', 'age', 'medal']) AS "column")""")
+def csv_bad_cells(spark: SparkSession, folder: str) -> DataFrame:
+    found = bad_cells(spark, exported_fact(spark, folder))
+    return found.withColumn("column", F.lower("column")).filter(F.col("column").isin("sex", "age", "medal"))
+
+
 @query("io03_lookup_scan", "SELECT ioc, cc AS continent FROM codes")
 def lookup_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "lookup-csv")
