@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palmares.catalog.join import TYPICAL_SQL
 from palmares.catalog.registry import half_up, query
 from palmares.operators.aggregates import (
-    category_pivot, count_by, distinct_count_by, hierarchy, share, sum_by, typical_category, with_root_share, won,
+    category_pivot, count_by, distinct_count_by, distinct_levels, exact_distinct_levels, hierarchy, share, sketch_error, sum_by,
+    typical_category, with_root_share, won,
     yearly_profile,
 )
 from palmares.operators.impute import group_mean
@@ -159,3 +160,16 @@ def stacked_series(spark: SparkSession, folder: str) -> DataFrame:
 SELECT continent, sex, age_bin, sport, season, century, medal, count(*) AS n FROM rv GROUP BY ALL""")
 def category_flows(spark: SparkSession, folder: str) -> DataFrame:
     return flows(participation(spark, folder), ["continent", "sex", "age_bin", "sport", "season", "century", "medal"])
+
+
+@query("ag07_distinct_levels", """
+SELECT season, continent, sport, 3 - CAST(GROUPING(season) + GROUPING(continent) + GROUPING(sport) AS INTEGER) AS level, count(DISTINCT id) AS n, true AS close
+FROM rv GROUP BY ROLLUP (season, continent, sport)""")
+def distinct_athletes(spark: SparkSession, folder: str) -> DataFrame:
+    """Different athletes at every level, exactly, and whether the estimate from united sketches is within five standard errors."""
+    rows, path = participation(spark, folder), ["season", "continent", "sport"]
+    exact = exact_distinct_levels(rows, path, "id")
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*path, "level")]
+    joined = exact.alias("e").join(distinct_levels(rows, path, "id", "estimate").alias("s"), same)
+    close = F.abs(F.col("s.estimate") - F.col("e.n")) <= 5 * sketch_error() * F.col("e.n")
+    return joined.select(*[f"e.{c}" for c in (*path, "level", "n")], close.alias("close"))

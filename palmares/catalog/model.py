@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palmares.catalog.registry import ROLES, query
+from palmares.catalog.scenario import BODY_SQL
 from palmares.models.classify import FOREST_INPUTS, TREE_INPUTS, fit_classifier, forest, labelled_profiles, score, tree
 from palmares.models.forecast import SERIES as PACKED, Autoregression, TrendAndSeason, boosted_trees, pooled_forecast, random_forest
 from palmares.operators.aggregates import count_by
@@ -185,8 +186,22 @@ def trend_design(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    bodies = country_bodies(participation(spark, folder), "NATION_3")
-    return stored(labelled_profiles(body_groups(bodies, medals_only=False, keys=PROFILE_KEYS)), "profiles")
+    """The labelled profiles of one country, made once a session for all classifiers."""
+
+    def build() -> DataFrame:
+        bodies = country_bodies(participation(spark, folder), "NATION_3")
+        return labelled_profiles(body_groups(bodies, medals_only=False, keys=PROFILE_KEYS))
+
+    return stored_once(spark, (folder, "country-profiles"), build)
+
+
+#: Profiles of the country with all outcomes, and their side of a split by the hash of their keys.
+PROFILE_SQL = (
+    *BODY_SQL[:-1],
+    """counted AS (SELECT team, sport, sex, height, weight, age, bmi, medal, count(*) AS medals FROM binned WHERE year >= 1945 GROUP BY ALL)""",
+    """hashed AS (SELECT *, CASE medal WHEN 'No medal' THEN 0 ELSE 1 END AS actual, CAST('0x' || substr(md5(concat_ws('|', '42', team, sport, sex,
+  CAST(height AS DECIMAL(24, 6)), CAST(weight AS DECIMAL(24, 6)), CAST(age AS DECIMAL(24, 6)), CAST(bmi AS DECIMAL(24, 6)), medal)), 1, 15) AS BIGINT) % 100 AS place FROM counted)""",
+)
 
 
 @query("ml10_forest_classifier")
@@ -203,6 +218,19 @@ def tree_classified(spark: SparkSession, folder: str) -> DataFrame:
     return class_report(score(model, rows.filter(F.col("part") == "test")), "actual", "predicted")
 
 
+@query("ml11_support", """
+SELECT CAST(actual AS VARCHAR) AS class, count(*) AS support FROM hashed WHERE place >= 80 GROUP BY 1
+UNION ALL SELECT c, (SELECT count(*) FROM hashed WHERE place >= 80) FROM (SELECT unnest(['macro avg', 'weighted avg']) AS c)""", *PROFILE_SQL)
+def tree_support(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes of the report of the tree and how many rows each has."""
+    return tree_classified(spark, folder).select("class", "support")
+
+
+@query("ml10_rows", "SELECT count(*) AS n FROM hashed WHERE place >= 10", *PROFILE_SQL)
+def classified_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return classified(spark, folder).select("n")
+
+
 @query("ml12_batch_scoring")
 def scored_sample(spark: SparkSession, folder: str) -> DataFrame:
     rows, path = profiles(spark, folder), new_path(spark, "model")
@@ -211,7 +239,14 @@ def scored_sample(spark: SparkSession, folder: str) -> DataFrame:
     return score(load_model(path), exact_sample(rows, PROFILE_KEYS, 20))
 
 
-@query("io16_model_round_trip")
+@query("ml12_scored_rows", "SELECT (count(*) * 20) // 100 AS n, (count(*) * 20) // 100 AS n_scored, (count(*) * 20) // 100 AS n_profiles FROM hashed", *PROFILE_SQL)
+def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the sample, those with a prediction, and the different profiles among them."""
+    rows = scored_sample(spark, folder)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("predicted_name").alias("n_scored"), F.countDistinct(*PROFILE_KEYS).alias("n_profiles"))
+
+
+@query("io16_model_round_trip", "SELECT count(*) AS n, count(*) AS n_same FROM hashed", *PROFILE_SQL)
 def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Rows scored, and rows on which the saved and the reloaded model agree."""
     rows, path = profiles(spark, folder), new_path(spark, "model")
@@ -304,6 +339,11 @@ def medal_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return result
 
 
+@query("q3d_rows", "SELECT pct, (count(*) * pct) // 100 AS n FROM hashed, (SELECT unnest([100, 80, 60, 40, 20]) AS pct) GROUP BY pct", *PROFILE_SQL)
+def medal_classifier_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return medal_classifier(spark, folder).select("pct", "n")
+
+
 def cohort_years(spark: SparkSession, folder: str) -> DataFrame:
     series = achievement_series(cohort(participation(spark, folder), "EUROPE", sport="city"))
     return stored(series.withColumn("cohort", F.lit("EUROPE")), "series")

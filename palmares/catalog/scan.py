@@ -112,11 +112,13 @@ def table_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return counted
 
 
-@query("io11_peek_table")
+@query("io11_peek_table", """
+SELECT continent, season, medal, sex, age_bin, count(*) AS medals FROM rv WHERE medal <> 'No medal' GROUP BY ALL
+ORDER BY continent, season, medal, sex, age_bin LIMIT 5""")
 def peek_table(spark: SparkSession, folder: str) -> DataFrame:
     name = f"{new_database(spark)}.medal_groups"
     overwrite_table(medal_groups(participation(spark, folder)), name)
-    return peek(spark, name)
+    return peek(spark, name, order=["continent", "season", "medal", "sex", "age_bin"])
 
 
 @query("io14_preview", """

@@ -10,8 +10,11 @@ from palmares.catalog.registry import BMI, equal_width, half_up, query
 from palmares.operators.aggregates import with_root_share
 from palmares.operators.filters import expand_values
 from palmares.operators.quality import non_null_counts
-from palmares.plans.ages import age_share, ages_with_typical_medal, medal_pivot_by_age, medals_of_top_sports
-from palmares.plans.bodies import axis_ranges, body_groups, body_hierarchy, country_bodies, parallel_axes
+from palmares.plans.ages import (
+    age_hierarchy, age_share, ages_with_typical_medal, medal_pivot_by_age, medals_of_top_sports, season_series, stacked_series,
+)
+from palmares.plans.bodies import axis_ranges, body_groups, body_hierarchy, body_points, country_bodies, parallel_axes
+from palmares.plans.defaults import BODY_FILTERS
 from palmares.plans.doubles import age_at_first_gold, double_winners, flows, golds_by_age, wait_share, winner_hierarchy
 from palmares.plans.etl import prepare_early
 from palmares.plans.medals import medal_groups, medal_hierarchy, medal_map, medal_table, medals_by_age
@@ -19,6 +22,7 @@ from palmares.plans.roles import (
     CONTINENT_CODES, DEFAULT_CODE, code_lookup, participation, prepare_roles, raw_participation,
 )
 from palmares.sources.files import table
+from palmares.store import stored_once
 
 COUNTRY = "NATION_3"
 
@@ -164,6 +168,29 @@ def shares_by_age_and_sex(spark: SparkSession, folder: str) -> DataFrame:
     return shares.withColumn("share", F.round("share", 6))
 
 
+@query("q2f_age_hierarchy", """
+SELECT year, sport, medal, medals, level, round(medals / max(CASE WHEN level = 1 THEN medals END) OVER (PARTITION BY year), 6) AS share
+FROM (SELECT year, sport, medal, CAST(sum(medals) AS BIGINT) AS medals, 3 - CAST(GROUPING(year) + GROUPING(sport) + GROUPING(medal) AS INTEGER) AS level
+  FROM led GROUP BY ROLLUP (year, sport, medal)) WHERE level >= 1""", *LED_SQL)
+def age_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return age_hierarchy(medals_of_top_sports(participation(spark, folder))).withColumn("share", F.round("share", 6))
+
+
+@query("q2f_season_series", """
+SELECT age_bin, medal, sport, CAST(sum(medals) AS BIGINT) AS medals FROM led
+WHERE season = 'Winter' AND sport IN ('SMALL', 'LARGE', 'PROMO', 'ECONOMY') AND sex IN ('Male', 'Female') GROUP BY ALL""", *LED_SQL)
+def winter_series(spark: SparkSession, folder: str) -> DataFrame:
+    """An empty choice of sexes stands for both."""
+    return season_series(medals_of_top_sports(participation(spark, folder)), "Winter", {"sport": ["SMALL", "LARGE", "PROMO", "ECONOMY"], "sex": []})
+
+
+@query("q2f_stacked_series", """
+SELECT age_bin, medal, CAST(sum(medals) AS BIGINT) AS medals FROM led
+WHERE sport IN ('SMALL', 'MEDIUM', 'PROMO') AND sex = 'Female' GROUP BY ALL""", *LED_SQL)
+def age_series(spark: SparkSession, folder: str) -> DataFrame:
+    return stacked_series(medals_of_top_sports(participation(spark, folder)), {"sport": ["SMALL", "MEDIUM", "PROMO"], "sex": ["Female"]})
+
+
 # Scenario 3
 
 
@@ -180,8 +207,12 @@ BODY_SQL = (
 
 
 def medal_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    bodies = country_bodies(participation(spark, folder), COUNTRY)
-    return body_groups(bodies, rename={f"{COUNTRY}-1": COUNTRY})
+    """The profiles that all views of the scenario read, made once a session."""
+
+    def build() -> DataFrame:
+        return body_groups(country_bodies(participation(spark, folder), COUNTRY), rename={f"{COUNTRY}-1": COUNTRY})
+
+    return stored_once(spark, (folder, "medal-profiles"), build)
 
 
 @query("q3a_body_profiles", """
@@ -205,6 +236,15 @@ def body_series(spark: SparkSession, folder: str) -> DataFrame:
     return medal_profiles(spark, folder).groupBy("age_bin", "bmi_bin", "sex").agg(F.sum("medals").alias("medals"))
 
 
+@query("q3b_body_points", """
+SELECT age, bmi, round(weight, 6) AS weight, sex, sport, medal FROM profiles
+WHERE sport IN ('SMALL', 'PROMO', 'ECONOMY') AND age_bin IN ('1-20', '21-25', '26-30', '31-40')""", *BODY_SQL)
+def chosen_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Age groups by their default list; all groups of the index, whose labels depend on the data."""
+    points = body_points(medal_profiles(spark, folder), {"sport": ["SMALL", "PROMO", "ECONOMY"]}, {"age_bin": BODY_FILTERS["age_bin"]})
+    return points.withColumn("weight", F.round("weight", 6))
+
+
 @query("q3c_parallel_axes", """
 SELECT sport, medal, sex, sport_at, medal_at, sex_at, age, bmi, CAST(sum(medals) AS BIGINT) AS medals FROM profiles
 JOIN (SELECT sport, row_number() OVER (ORDER BY min((team, sport, sex, age, bmi, medal)), sport) - 1 AS sport_at FROM profiles GROUP BY sport) USING (sport)

@@ -73,6 +73,31 @@ def hierarchy(
     return leaves.rollup(*path).agg(F.sum("_leaf").alias(target), (F.lit(len(path)) - missing).alias("level"))
 
 
+def distinct_levels(df: DataFrame, path: Sequence[str], counted: str, target: str = "n", lg: int = 14) -> DataFrame:
+    """Estimated number of different values of ``counted`` at every prefix of ``path``, with ``level`` 0 for the whole.
+
+    Distinct counts of parts do not add up, their sketches do: the rows are read once into a sketch for each full path, of
+    at most ``2 ** lg`` bytes whatever it has seen, and levels unite sketches. About two in three estimates are within one
+    ``sketch_error``, almost all within three. Nulls do not count.
+    """
+    leaves = df.groupBy(*path).agg(F.hll_sketch_agg(counted, F.lit(lg)).alias("_sketch"))
+    missing = reduce(lambda a, b: a + b, [F.grouping(c).cast("int") for c in path])
+    levels = leaves.rollup(*path).agg(F.hll_union_agg("_sketch").alias("_sketch"), (F.lit(len(path)) - missing).alias("level"))
+    return levels.withColumn(target, F.hll_sketch_estimate("_sketch")).drop("_sketch")
+
+
+def sketch_error(lg: int = 14) -> float:
+    """The relative standard error of a united sketch."""
+    return 1.04 / 2 ** (lg / 2)
+
+
+def exact_distinct_levels(df: DataFrame, path: Sequence[str], counted: str, target: str = "n") -> DataFrame:
+    """The same counts exactly. Different values of each full path are kept first, so a hot path combines on the map side."""
+    values = df.select(*path, counted).distinct()
+    missing = reduce(lambda a, b: a + b, [F.grouping(c).cast("int") for c in path])
+    return values.rollup(*path).agg(F.countDistinct(counted).alias(target), (F.lit(len(path)) - missing).alias("level"))
+
+
 def with_root_share(tree: DataFrame, path: Sequence[str], amount: str = "amount", target: str = "share") -> DataFrame:
     """Share of every hierarchy node in the total of its own first-level branch."""
     root = path[0]

@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from palmares.functions.scalar import decorated
-from palmares.operators.aggregates import category_pivot, count_by, share, typical_category, won
+from palmares.operators.aggregates import category_pivot, count_by, hierarchy, share, sum_by, typical_category, with_root_share, won
 from palmares.operators.filters import apply_filters
 from palmares.operators.joins import keep_listed
 from palmares.operators.ranges import range_label
 from palmares.operators.ranking import top_k_per_group
+from palmares.plans.defaults import AGE_FILTERS, AGE_PATH
 from palmares.store import stored
 
 
@@ -69,3 +70,24 @@ def age_share(
     rows = apply_filters(groups, chosen or {}, defaults)
     label = decorated(F.col("age_bin"), F.col("sex")) if by_sex else F.col("age_bin")
     return share(rows.withColumn("label", label), "label", "medals", "medals")
+
+
+def age_hierarchy(groups: DataFrame, path: Sequence[str] = ()) -> DataFrame:
+    """Medals and branch share at every level of a chosen path; an empty choice stands for ``AGE_PATH``."""
+    levels = list(path) or AGE_PATH
+    return with_root_share(hierarchy(groups, levels, "medals", "medals"), levels, "medals")
+
+
+def season_series(
+    groups: DataFrame, season: str, chosen: Mapping[str, Sequence[str]] | None = None, defaults: Mapping[str, Sequence[str]] = AGE_FILTERS,
+) -> DataFrame:
+    """Medals of one season by age group, medal and sport, for the chosen sports and sexes."""
+    rows = apply_filters(groups.filter(F.col("season") == season), chosen or {}, defaults)
+    return sum_by(rows, ["age_bin", "medal", "sport"], "medals", "medals")
+
+
+def stacked_series(
+    groups: DataFrame, chosen: Mapping[str, Sequence[str]] | None = None, defaults: Mapping[str, Sequence[str]] = AGE_FILTERS,
+) -> DataFrame:
+    """Medals by age group and medal, one series an age group, for the chosen sports and sexes of both seasons."""
+    return sum_by(apply_filters(groups, chosen or {}, defaults), ["age_bin", "medal"], "medals", "medals")

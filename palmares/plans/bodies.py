@@ -13,7 +13,9 @@ from palmares.operators.aggregates import count_by, hierarchy, with_root_share,
 from palmares.operators.encode import first_seen_index
 from palmares.operators.impute import fill_body_measures
 from palmares.operators.joins import keep_listed
+from palmares.operators.filters import apply_filters
 from palmares.operators.ranking import top_k
+from palmares.plans.defaults import BODY_FILTERS
 from palmares.store import stored
 
 GROUPS = ("team", "sport", "sex", "height", "weight", "age", "age_bin", "bmi", "bmi_bin", "medal")
@@ -49,6 +51,13 @@ def body_groups(
     return groups.withColumn("team", recode("team", rename)) if rename else groups
 
 
+def body_points(
+    groups: DataFrame, chosen: Mapping[str, Sequence[str]] | None = None, defaults: Mapping[str, Sequence[str]] = BODY_FILTERS,
+) -> DataFrame:
+    """The profiles of the chosen sports, age groups and index groups as points: age, index, weight, sex and medal."""
+    return apply_filters(groups, chosen or {}, defaults).select("age", "bmi", "weight", "sex", "sport", "medal")
+
+
 def body_hierarchy(groups: DataFrame, path: Sequence[str]) -> DataFrame:
     """Medals and branch share at every level of a path over distinct profiles."""
     return with_root_share(hierarchy(groups.dropDuplicates(), path, "medals", "medals"), path, "medals")

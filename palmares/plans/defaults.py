@@ -8,6 +8,8 @@ AGE_FILTERS = {
     "sex": ["Male", "Female"],
 }
 
+AGE_PATH = ["year", "sport", "medal"]
+
 BODY_FILTERS = {
     "sport": ["Athletics", "Canoeing", "Fencing", "Gymnastics", "Rowing"],
     "age_bin": ["1-20", "21-25", "26-30", "31-40"],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palmares.functions.scalar import decorated
 from palmares.operators.aggregates import count_by, hierarchy, share
-from palmares.operators.filters import apply_filters
+from palmares.operators.filters import apply_filters, expand_values
 from palmares.operators.gaps import gap_label, second_success
 from palmares.operators.impute import fill_with_group_mean
 from palmares.operators.joins import attach, keep_listed
@@ -54,11 +54,19 @@ def double_winners(
     return attach(golds, winners.join(waits, athlete), athlete, "inner")
 
 
+def chosen_winners(winners: DataFrame, chosen: Mapping[str, Sequence[str]] | None, defaults: Mapping[str, Sequence[str]] | None) -> DataFrame:
+    """Rows of the chosen values; a chosen country stands for its predecessors too."""
+    lists = dict(chosen or {})
+    if lists.get("noc"):
+        lists["noc"] = expand_values(lists["noc"])
+    return apply_filters(winners, lists, defaults)
+
+
 def golds_by_age(
     winners: DataFrame, chosen: Mapping[str, Sequence[str]] | None = None,
     defaults: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    rows = apply_filters(winners, chosen or {}, defaults)
+    rows = chosen_winners(winners, chosen, defaults)
     return count_by(rows.filter(F.col("medal") == GOLD), ["year", "age", "sex"])
 
 
@@ -67,7 +75,7 @@ def age_at_first_gold(
     defaults: Mapping[str, Sequence[str]] | None = None, athlete: str = "name", sport: str = "sport",
 ) -> DataFrame:
     """Athletes by age, sex and sport of their first gold among the chosen rows."""
-    rows = apply_filters(winners, chosen or {}, defaults).select(athlete, "year", "age", sport, "event", "sex")
+    rows = chosen_winners(winners, chosen, defaults).select(athlete, "year", "age", sport, "event", "sex")
     first = one_per_key(rows, [athlete], ["year", "age", sport, "event"])
     return count_by(first, ["age", "sex", sport])
 
@@ -77,7 +85,7 @@ def wait_share(
     defaults: Mapping[str, Sequence[str]] | None = None, by_sex: bool = False,
 ) -> DataFrame:
     """Share of every time to the second gold, optionally with the sex, in the rows of the chosen countries."""
-    rows = apply_filters(winners, chosen or {}, defaults)
+    rows = chosen_winners(winners, chosen, defaults)
     label = decorated(F.col("years_to_two"), F.col("sex")) if by_sex else F.col("years_to_two")
     return share(rows.withColumn("label", label), "label", amount="n")
 

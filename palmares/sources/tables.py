@@ -39,5 +39,7 @@ def overwrite_table(df: DataFrame, name: str, partition_by: Sequence[str] = ())
     df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(name)
 
 
-def peek(spark: SparkSession, name: str, n: int = 5) -> DataFrame:
-    return spark.table(name).limit(n)
+def peek(spark: SparkSession, name: str, n: int = 5, order: Sequence[str] = ()) -> DataFrame:
+    """A few rows of a table: the first by ``order``, any ones without it."""
+    rows = spark.table(name)
+    return (rows.orderBy(*order) if order else rows).limit(n)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palmares.functions.scalar import salted_hash
-from palmares.operators.aggregates import category_pivot, hierarchy, share, typical_category, with_root_share
+from palmares.operators.aggregates import (
+    category_pivot, distinct_levels, exact_distinct_levels, hierarchy, share, sketch_error, typical_category, with_root_share,
+)
 from palmares.operators.gaps import gap_label, row_lag, second_success, with_group_count, year_steps
 from palmares.operators.metrics import binary_metrics, class_report
 from palmares.operators.ranking import number_rows, one_per_key, top_k, top_k_per_group
@@ -107,6 +109,18 @@ def test_typical_category_tie_order(spark):
     assert pivot["gs"] == (1, 1, 0, 2) and pivot["none"] == (0, 0, 0, 0)
 
 
+def test_united_sketches_are_within_their_error(spark):
+    rows = spark.range(60000).select((F.col("id") % 7).alias("a"), (F.col("id") % 21).alias("b"), F.when(F.col("id") % 11 > 0, F.col("id") % 20011).alias("v"))
+    exact = {(r["a"], r["b"], r["level"]): r["n"] for r in exact_distinct_levels(rows, ["a", "b"], "v").collect()}
+    for lg in (14, 10):
+        found = {(r["a"], r["b"], r["level"]): r["n"] for r in distinct_levels(rows, ["a", "b"], "v", lg=lg).collect()}
+        assert found.keys() == exact.keys() and len(exact) == 1 + 7 + 21
+        assert all(abs(found[k] - n) <= 4 * sketch_error(lg) * n for k, n in exact.items())
+    assert exact[None, None, 0] == rows.select("v").distinct().count() - 1
+    # Parts do not add up.
+    assert sum(n for (_, _, level), n in exact.items() if level == 2) > exact[None, None, 0]
+
+
 def test_hierarchy_levels_add_up(spark):
     rows = spark.createDataFrame([("a", "x", 2), ("a", "y", 3), ("b", "x", 5), ("a", "x", 1)], "p string, q string, v int")
     tree = hierarchy(rows, ["p", "q"], "v")

@@ -106,3 +106,11 @@ def test_one_country_moves_before_the_young_golds_are_chosen(spark):
     assert names() == {"a", "b"}
     assert names(moved=("RUS", "Asia")) == {"b"}
     assert names(moved=("RUS", "Asia"), continent="Asia") == {"a"}
+
+
+def test_a_chosen_country_stands_for_its_predecessors(spark):
+    from palmares.plans.doubles import golds_by_age
+
+    rows = [(2000 + i, 20.0, "Male", noc, "Gold") for i, noc in enumerate(["GER", "GDR", "FRG", "POL"])]
+    winners = spark.createDataFrame(rows, "year int, age double, sex string, noc string, medal string")
+    assert sorted(r["year"] for r in golds_by_age(winners, {"noc": ["GER"]}).collect()) == [2000, 2001, 2002]
