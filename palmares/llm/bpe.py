@@ -9,6 +9,7 @@ stay in a bounded memory of the worker. Nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -16,11 +17,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 21
 MEMORY_WORDS = 250_000
+#: Bytes of new words merged together (one longer word is merged alone), and pairs of tokens whose rank is remembered.
+LEARNT_BYTES, MEMORY_PAIRS = 1 << 20, 1 << 20
+
+#: The usual pattern, and the same for texts up to U+024F in classes that Python's own matcher looks up in one step.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LETTER, _DIGIT, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN_WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +44,7 @@ class Merges:
 
     def __init__(self, ranks: Mapping[bytes, int], pattern: str):
         self.ranks, self.words = ranks, regex.compile(pattern)
+        self.usual = pattern == USUAL
         self.tokens = {rank: token for token, rank in ranks.items()}
         letters = [bytes([b]) for b in range(256)]
         self.single = np.array([ranks[a] for a in letters], np.int32)
@@ -41,17 +52,30 @@ class Merges:
         self.known: dict[str, bytes] = {}
         self.merged: dict[int, int] = {}
 
+    def split(self, text: str) -> list[str]:
+        if self.usual and (text.isascii() or not _BEYOND_LATIN.search(text)):
+            return _LATIN_WORDS.findall(text)
+        return self.words.findall(text)
+
     def learn(self, words: Iterable[str]) -> None:
-        """Merge the given words together and remember their ids. A word that is a token is that token."""
-        pieces = []
+        """Merge the given words, some ``LEARNT_BYTES`` together, and remember their ids. A word that is a token is that token."""
+        pieces, size = [], 0
         for word in words:
             piece = word.encode()
             if (rank := self.ranks.get(piece)) is not None:
                 self.known[word] = np.int32(rank).tobytes()
-            else:
-                pieces.append((word, piece))
-        if not pieces:
-            return
+                continue
+            if pieces and size + len(piece) > LEARNT_BYTES:
+                self._learn(pieces)
+                pieces, size = [], 0
+            pieces.append((word, piece))
+            size += len(piece)
+        if pieces:
+            self._learn(pieces)
+
+    def _learn(self, pieces: list[tuple[str, bytes]]) -> None:
+        if len(self.merged) > MEMORY_PAIRS:
+            self.merged.clear()
         flat = np.frombuffer(b"".join(piece for _, piece in pieces), np.uint8).astype(np.int32)
         ends = np.cumsum([len(piece) for _, piece in pieces])
         pairs = np.append(self.letter_pairs[flat[:-1] * 256 + flat[1:]], -1)
@@ -104,7 +128,7 @@ class Merges:
         return token
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        split = [self.words.findall(text) for text in texts]
+        split = [self.split(text) for text in texts]
         met = set().union(*split)
         fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > MEMORY_WORDS:
@@ -133,32 +157,50 @@ def _chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", target: str = "ids", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def _decoded(tokens: Mapping[int, bytes], ids: np.ndarray) -> bytes:
+    try:
+        return b"".join(map(tokens.__getitem__, ids.tolist()))
+    except KeyError:
+        raise ValueError("an id is not in the vocabulary") from None
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", target: str = "ids", chunk_chars: int = CHUNK_CHARS,
+    keep: Sequence[str] | None = None, decoded: str | None = None,
+) -> DataFrame:
     """``docs`` with the token ids of every whole text in ``target``; null and empty texts have no ids.
 
+    ``keep`` names the columns to return beside them (all without it), so that texts need not travel back; ``decoded`` names a
+    column for the bytes that the ids decode to, made in the same pass. A single word is held as five numbers for each of its
+    bytes while it is merged, some 150 bytes a byte: a word of a megabyte takes 150 MB.
+
     The file of ranks is read by the driver and broadcast: its size is that of the vocabulary, whatever the corpus.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    others = [c for c in docs.columns if c != target]
-    kind = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in others]).schema.fields, T.StructField(target, T.ArrayType(T.IntegerType(), False))])
+    added = [target] + ([decoded] if decoded else [])
+    others = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in others])
+    fields = [*rows.schema.fields[1:], T.StructField(target, T.ArrayType(T.IntegerType(), False))]
+    kind = T.StructType(fields + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
 
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(f"{ranks_path}:{shared.id if hasattr(shared, 'id') else 0}", pattern, shared)
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            sizes = [n or 0 for n in pa.compute.utf8_length(batch.column(at)).to_pylist()]
+            sizes = [n or 0 for n in pc.utf8_length(batch.column(0)).to_pylist()]
             for start, end in _chunks(sizes, chunk_chars):
                 part = batch.slice(start, end - start)
-                ids = merges.encode([x or "" for x in part.column(at).to_pylist()])
+                ids = merges.encode([x or "" for x in part.column(0).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*others, target])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([_decoded(merges.tokens, x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*others, *added])
 
-    return docs.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(encode_batches, kind)
+    return rows.mapInArrow(encode_batches, kind)
 
 
-def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", target: str = "decoded", chunk_ids: int = 1 << 20) -> DataFrame:
+def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", target: str = "decoded", chunk_ids: int = 1 << 18) -> DataFrame:
     """``rows`` with the bytes of every list of ids in ``target``; a null list gives no bytes, an unknown id fails."""
     shared = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     others = [c for c in rows.columns if c != target]
@@ -166,25 +208,12 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", target: str = "de
 
     def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in shared.value.items()}
-        table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        known = np.array([i in tokens for i in range(len(table))])
-        length = np.array([len(t) for t in table], np.int64)
-        begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-        letters = np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            counts = np.array([n or 0 for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
-            for start, end in _chunks(counts.tolist(), chunk_ids):
+            at = batch.schema.get_field_index(ids)
+            counts = [n or 0 for n in pc.list_value_length(batch.column(at)).to_pylist()]
+            for start, end in _chunks(counts, chunk_ids):
                 part = batch.slice(start, end - start)
-                flat = part.column(batch.schema.get_field_index(ids)).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and not ((flat >= 0) & (flat < len(table))).all() or not known[flat].all():
-                    raise ValueError("an id is not in the vocabulary")
-                sizes = length[flat]
-                ends = np.cumsum(sizes)
-                index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[flat] - (ends - sizes), sizes)
-                text = letters[index].tobytes()
-                row_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts[start:end])])]
-                out = pa.array([text[a:b] for a, b in zip(row_ends[:-1].tolist(), row_ends[1:].tolist())], pa.binary())
+                out = pa.array([_decoded(tokens, np.array(x or [], np.int64)) for x in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*others, target])
 
     return rows.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(decode_batches, kind)

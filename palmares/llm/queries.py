@@ -47,8 +47,7 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return token_digests(bpe.decode(ids, RANKS))
+    return token_digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded"))
 
 
 def token_digests(rows: DataFrame) -> DataFrame:

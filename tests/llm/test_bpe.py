@@ -62,3 +62,39 @@ def test_unknown_ids_fail_and_null_lists_are_empty(spark):
     assert bytes(none["decoded"]) == b""
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([([999_999],)], "ids array<int>"), path).collect()
+
+
+@pytest.mark.parametrize("size", [64, 1 << 18])
+def test_plain_matcher_and_batches_of_new_words(monkeypatch, size):
+    """All characters that the plain matcher takes, in runs and alone, and words that do not fit a batch."""
+    monkeypatch.setattr(bpe, "LEARNT_BYTES", size)
+    draw = random.Random(9)
+    letters = [chr(c) for c in range(0x250)]
+    texts = ["".join(letters), " ".join(letters), "\n".join(letters), "a" * 3000 + " " + "ñ" * 2000] + TEXTS
+    texts += ["".join(draw.choice(letters + list("  \n'stvelmrd")) for _ in range(300)) for _ in range(200)]
+    for name in NAMES:
+        merges = bpe.Merges(RANKS[name], PATTERN)
+        assert merges.usual
+        assert [x.tolist() for x in merges.encode(texts)] == [OWN[name].encode_ordinary(t) for t in texts]
+
+
+def test_kept_columns_and_decoding_in_one_pass(spark):
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, ids string")
+    out = bpe.encode(docs, public_tokenizers.path(NAMES[0]), PATTERN, keep=["doc_id"], decoded="back", chunk_chars=40)
+    assert out.columns == ["doc_id", "ids", "back"]
+    assert {r["doc_id"]: (r["ids"], bytes(r["back"]).decode()) for r in out.collect()} == {i: (OWN[NAMES[0]].encode_ordinary(t or ""), t or "") for i, t in enumerate([*TEXTS, None])}
+
+
+def test_registered_query_equals_the_library(spark):
+    import hashlib
+
+    from palmares.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    want = []
+    for d in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        ids = OWN["byte_bpe_50k.tiktoken"].encode_ordinary(d["text"] or "")
+        want.append((d["doc_id"], len(ids), sha(" ".join(map(str, ids)).encode()), sha((d["text"] or "").encode())))
+    out = QUERIES["op5_byte_bpe"](spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, out.collect())) == sorted(want)
