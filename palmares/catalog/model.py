@@ -153,6 +153,9 @@ def monthly_orders(spark: SparkSession, folder: str) -> DataFrame:
     return count_by(table(spark, folder, "orders").select("o_orderpriority", month), ["o_orderpriority", "month"])
 
 
+MONTHS_SQL = """SELECT o_orderpriority, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS t, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL"""
+
+
 @query("ml08_monthly_orders")
 def monthly_autoregression(spark: SparkSession, folder: str) -> DataFrame:
     """Five lags, a year ahead, with the fitted values of the history."""
@@ -161,6 +164,15 @@ def monthly_autoregression(spark: SparkSession, folder: str) -> DataFrame:
     return Autoregression(5).forecast(rows, ["o_orderpriority"], "month", "n", fitted=True)
 
 
+@query("ml08_monthly_rows", f"""
+WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY t) - 1 AS pos FROM ({MONTHS_SQL}))
+SELECT o_orderpriority, t AS month, pos >= 6 AS predicted FROM numbered
+UNION ALL SELECT o_orderpriority, CAST(max(t) + i AS INTEGER), true FROM numbered, range(1, 13) AS r(i) GROUP BY o_orderpriority, i""", roles=False)
+def monthly_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """History and horizon, and whether each row has a fitted or forecast value: all but those without five lags."""
+    return monthly_autoregression(spark, folder).select("o_orderpriority", "month", F.col("yhat").isNotNull().alias("predicted"))
+
+
 @query("ml09_trend_and_season")
 def trended(spark: SparkSession, folder: str) -> DataFrame:
     history = yearly_medals(spark, folder)
@@ -264,7 +276,6 @@ def validated(spark: SparkSession, folder: str) -> DataFrame:
     return ar.unionByName(trend)
 
 
-MONTHS_SQL = """SELECT o_orderpriority, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS t, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL"""
 FOLDS_OF_ORDER_1 = """SELECT o_orderpriority, fold, CAST(n - (6 - fold) * (n // 6) AS BIGINT) AS train, n // 6 AS size, 0.0 AS f2,
     coalesce(sum(x * a) FILTER (WHERE pos < n - (6 - fold) * (n // 6)) / sum(a * a) FILTER (WHERE pos < n - (6 - fold) * (n // 6)), 0) AS f1
   FROM lags, (SELECT unnest([1, 2, 3, 4, 5]) AS fold) GROUP BY o_orderpriority, fold, n"""

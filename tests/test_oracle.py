@@ -24,7 +24,6 @@ SHAPES = {
     "ml06_random_forest": 10 * 5,
     "ml07_age_forest": 2 * 5,
     "ml08_autoregression": 10 * 5,
-    "ml08_monthly_orders": 5 * (80 + 12),
     "ml09_trend_and_season": 10 * 10,
     "ml10_forest_classifier": 1,
     "ml11_tree_classifier": 4,
