@@ -88,6 +88,40 @@ def test_mined_rules_of_any_size_equal_brute_force(spark):
     assert all((r["verdict"] == "block") == (r["page_id"] % 8 == 7) for r in judged)
 
 
+def test_deep_common_paths_are_mined_as_one_item(spark):
+    deep = "/".join(f"d{k}" for k in range(30))
+    nested = ["/".join(f"n{k}" for k in range(1 + i)) for i in range(24)]
+    rows = [(i, f"x://deep.net/{deep}/{i}", i % 4 > 0) for i in range(40)]
+    rows += [(100 + i, f"x://nest.net/{nested[i % 24]}/{i}", i % 24 > 11) for i in range(240)]
+    rows += [(1000 + i, f"x://good.net/{i % 5}/{i}", False) for i in range(50)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(2000, "x://new.org.net/z/d17/a"), (2001, "x://nest.net/n0/n1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in rows], "page_id long, bad boolean")
+    verdict = {r["page_id"]: r["verdict"] for r in urls.judged(pages, labels, min_confidence=0.7).collect()}
+    assert all(verdict[i] == "block" for i in range(40)) and verdict[2000] == "block" and verdict[2001] == "allow"
+    # The piece n<k> is bad in 12 of the 24 - k kinds of rows that hold it: at least 0.7 from n7 on.
+    assert all((verdict[i] == "block") == ((i - 100) % 24 >= 7) for i in range(100, 340))
+    assert all(verdict[i] == "allow" for i, _, _ in rows if i >= 1000)
+
+
+def test_equal_and_nested_tokens_give_the_rules_of_brute_force(spark):
+    draw = random.Random(8)
+    rows = []
+    for _ in range(300):
+        tokens = {t for t in "adef" if draw.random() < 0.6} | {"u"}
+        tokens |= {"b", "c"} if "a" in tokens and draw.random() < 0.8 else {"g"} if draw.random() < 0.5 else set()
+        rows.append((sorted(tokens), draw.random() < 0.15 + 0.2 * len(tokens & {"b", "d", "e"})))
+    share = {}
+    for size in range(1, 9):
+        for rule in combinations("abcdefgu", size):
+            marks = [bad for tokens, bad in rows if set(rule) <= set(tokens)]
+            if sum(marks) >= 5 and sum(marks) / len(marks) >= 0.4:
+                share[rule] = sum(marks) / len(marks)
+    want = {r: c for r, c in share.items() if not any(set(o) < set(r) and d >= c for o, d in share.items())}
+    found = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_confidence=0.4).collect()
+    assert {tuple(r["rule_tokens"]): pytest.approx(r["confidence"]) for r in found} == want and len(found) == len(want)
+    assert max(map(len, want)) >= 3
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
