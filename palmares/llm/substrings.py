@@ -88,50 +88,60 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return grams[anchor], digest, first, last
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and their ranks from 0, equal for equal keys."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return order, rank
+
+
 def suffix_array(codes: np.ndarray, length: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by at least their first ``length`` symbols."""
-    rank, size = codes.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while size < length:
+    """Starts of all suffixes, sorted by at least their first ``length`` symbols: first by as many symbols as one number
+    holds, then by twice as many each time."""
+    bits = int(codes.max(initial=0) + 1).bit_length()
+    size = max(1, 63 // bits)
+    key = np.zeros(len(codes), np.int64)
+    for back in range(size):
+        key <<= bits
+        key[:max(len(codes) - back, 0)] |= codes[back:] + 1
+    order, rank = _ranked(key)
+    while size < length and len(rank) and rank[order[-1]] < len(rank) - 1:
         rest = np.zeros(len(rank), np.int64)
         rest[:-size] = rank[size:] + 1
-        key = rank * (int(rank.max(initial=0)) + 2) + rest
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        order, rank = _ranked(rank * (len(rank) + 1) + rest)
         size *= 2
-        if rank[order[-1]] == len(rank) - 1:
-            break
     return order
 
 
 def told_apart(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For neighbours in the suffix array, whether their first ``length`` symbols differ, by backward extension.
 
-    A place p of the transform where neighbours share k symbols yields, for every symbol c, the place where suffixes
-    that start with c and go on before p meet those that go on after it; these share k + 1 symbols, unless found to
-    share fewer before. Places are visited by increasing k, all of one k together.
+    Two places x < y of the transform that hold the same symbol, with no such symbol between, extend to neighbours.
+    These share one symbol more than the closest of the places after x up to y share. So places told apart with k symbols
+    in common tell apart, with k + 1, the extensions of all such pairs that they part and that were not told apart
+    before. Places are visited by increasing k, all of one k together; a place needs only the y before the next place
+    told apart, since that one sees to those behind it.
     """
     last = codes[order - 1]
-    symbols, counts = np.unique(last, return_counts=True)
-    blocks = np.concatenate([[0], np.cumsum(counts)])
-    places = np.split(np.argsort(last, kind="stable"), blocks[1:-1])
-    apart = np.zeros(len(codes) + 1, bool)
-    found = blocks[:-1]
-    apart[found] = True
+    by_symbol = np.argsort(last, kind="stable")
+    starts = np.append(True, last[by_symbol[1:]] != last[by_symbol[:-1]])
+    extended, former = np.empty(len(last), np.int64), np.empty(len(last), np.int64)
+    extended[by_symbol] = np.arange(len(last))
+    former[by_symbol[1:]] = by_symbol[:-1]
+    apart = starts.copy()
+    found = np.flatnonzero(starts)
     for _ in range(length - 1):
-        new = []
-        for place, start, end in zip(places, blocks[:-1].tolist(), blocks[1:].tolist()):
-            next_ = start + np.searchsorted(place, found)
-            next_ = next_[(next_ > start) & (next_ < end)]
-            next_ = np.unique(next_[~apart[next_]])
-            apart[next_] = True
-            new.append(next_)
-        found = np.concatenate(new)
         if not len(found):
             break
-    return apart[:-1]
+        edges = np.append(np.flatnonzero(apart), len(apart))
+        sizes = edges[np.searchsorted(edges, found) + 1] - found
+        y = np.arange(sizes.sum()) + np.repeat(found - (np.cumsum(sizes) - sizes), sizes)
+        y = y[~apart[extended[y]] & (former[y] < np.repeat(found, sizes))]
+        found = extended[y]
+        apart[found] = True
+    return apart
 
 
 def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -215,7 +225,9 @@ def _partly_repeated(pieces: DataFrame, kinds: DataFrame, length: int, limit: in
             both = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(2)]
             yield pa.RecordBatch.from_arrays([*both, pa.array(at), _signed(np.concatenate([*found, np.zeros(0, np.uint64)]))], names=["anchor", "digest", "low", "string"])
 
-    few = known.filter(F.col("kinds") <= limit).select("shard", "anchor", "digest", "bytes").groupBy("shard").applyInPandas(
+    # Shards are small in bytes and long in seconds, so their tasks are not merged by size.
+    tasks = min(shards, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    few = known.filter(F.col("kinds") <= limit).select("shard", "anchor", "digest", "bytes").repartition(tasks, "shard").groupBy("shard").applyInPandas(
         lambda rows: compare(rows), kind
     )
     many = known.filter(F.col("kinds") > limit)
