@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from palmares.llm.common import packed, unpacked
+from palmares.llm.common import packed, text_or_empty, unpacked
 from palmares.llm.jaccard import _bitmap, _mixed, _passes, _signed
 from palmares.store import stored
 
@@ -32,6 +32,8 @@ LENGTH = 200
 GRAM = 100
 #: Different segments of one anchor that are compared in one task, and bytes of segments in a task.
 SEGMENTS, SHARD_BYTES = 2048, 1 << 19
+#: Texts whose segments a task holds and hands on at once.
+SLICE = 1024
 _LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -127,7 +129,7 @@ def told_apart(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     last = codes[order - 1]
     by_symbol = np.argsort(last, kind="stable")
     starts = np.append(True, last[by_symbol[1:]] != last[by_symbol[:-1]])
-    extended, former = np.empty(len(last), np.int64), np.empty(len(last), np.int64)
+    extended, former = np.empty(len(last), np.int32), np.full(len(last), -1, np.int32)
     extended[by_symbol] = np.arange(len(last))
     former[by_symbol[1:]] = by_symbol[:-1]
     apart = starts.copy()
@@ -177,28 +179,33 @@ def _found_segments(rows: DataFrame, wanted: np.ndarray | None, length: int, gra
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1)
-            parts, pieces, seen = [], [], set()
-            for i in range(batch.num_rows):
-                data = _bytes(texts[i].as_py())
-                anchor, digest, first, last = segments(data, length, gram)
-                if shared is not None:
-                    kept = _passes(shared.value, anchor.view(np.int64))
-                    anchor, digest, first, last = anchor[kept], digest[kept], first[kept], last[kept]
-                if with_bytes:
-                    for j, pair in enumerate(zip(anchor.tolist(), digest.tolist())):
-                        if pair not in seen:
-                            seen.add(pair)
-                            pieces.append((*pair, data[first[j]:last[j] + length].tobytes()))
-                else:
-                    parts.append((anchor, digest, np.full(len(anchor), ids[i]), first, last))
+            seen = set()
+            for start in range(0, batch.num_rows, SLICE):
+                yield read_slice(batch.slice(start, SLICE), seen)
+
+    def read_slice(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1)
+        parts, pieces = [], []
+        for i in range(batch.num_rows):
+            data = _bytes(texts[i].as_py())
+            anchor, digest, first, last = segments(data, length, gram)
+            if shared is not None:
+                kept = _passes(shared.value, anchor.view(np.int64))
+                anchor, digest, first, last = anchor[kept], digest[kept], first[kept], last[kept]
             if with_bytes:
-                anchor, digest = (np.array([p[k] for p in pieces], np.uint64) for k in range(2))
-                columns = [_signed(anchor), _signed(digest), pa.array([p[2] for p in pieces], pa.binary())]
+                for j, pair in enumerate(zip(anchor.tolist(), digest.tolist())):
+                    if pair not in seen:
+                        seen.add(pair)
+                        pieces.append((*pair, data[first[j]:last[j] + length].tobytes()))
             else:
-                anchor, digest, row, first, last = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
-                columns = [_signed(anchor), _signed(digest), pa.array(row), pa.array(first), pa.array(last)]
-            yield pa.RecordBatch.from_arrays(columns[:1] if only_anchor else columns, names=[f.split()[0] for f in fields.split(", ")][:1 if only_anchor else None])
+                parts.append((anchor, digest, np.full(len(anchor), ids[i]), first, last))
+        if with_bytes:
+            anchor, digest = (np.array([p[k] for p in pieces], np.uint64) for k in range(2))
+            columns = [_signed(anchor), _signed(digest), pa.array([p[2] for p in pieces], pa.binary())]
+        else:
+            anchor, digest, row, first, last = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
+            columns = [_signed(anchor), _signed(digest), pa.array(row), pa.array(first), pa.array(last)]
+        return pa.RecordBatch.from_arrays(columns[:1] if only_anchor else columns, names=[f.split()[0] for f in fields.split(", ")][:1 if only_anchor else None])
 
     return rows.select("row", "text").mapInArrow(read, fields)
 
@@ -285,12 +292,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return pd.Series(_passes(screen.value, row.to_numpy()))
 
     flagged = rows.withColumn("may", may_repeat("row"))
-    none = F.lit(None).cast(spans.schema["spans"].dataType)
-    both = flagged.filter(~F.col("may")).select("doc", "text", none.alias("spans")).unionAll(
-        flagged.filter("may").join(spans, "row", "left").select("doc", "text", "spans")
-    )
     ranges = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kind = T.StructType([both.schema["doc"], T.StructField("kept", T.BinaryType()), T.StructField("removed", ranges)])
+    clean = flagged.filter(~F.col("may")).select("doc", text_or_empty("text").cast("binary").alias("kept"), F.array().cast(ranges).alias("removed"))
+    held = flagged.filter("may").join(spans, "row", "left").select("doc", "text", "spans")
+    kind = T.StructType([held.schema["doc"], T.StructField("kept", T.BinaryType()), T.StructField("removed", ranges)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,4 +309,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             arrow_ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, arrow_ranges)], names=["doc", "kept", "removed"])
 
-    return unpacked(both.mapInArrow(cut, kind), "doc", ["kept", "removed"])
+    return unpacked(clean.unionAll(held.mapInArrow(cut, kind)), "doc", ["kept", "removed"])
