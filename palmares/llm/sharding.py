@@ -44,6 +44,11 @@ def external_shuffle(
     interchangeable. Null and empty texts are ordinary records. An empty table gives an empty table. ``bucket`` and
     ``position`` replace input columns of these names. Memory per task: one bucket, or the largest single record.
     """
+    return unpacked(_shuffled(docs, seed, bucket_bytes, text, repeats), "row", ["bucket", "position"])
+
+
+def _shuffled(docs: DataFrame, seed: int = 17, bucket_bytes: int = 16 << 20, text: str = "text", repeats: int = 1000) -> DataFrame:
+    """(row, bucket, position): the shuffled records as structs, stored."""
     rows = docs.select(
         packed(docs.columns).alias("row"),
         F.xxhash64(F.lit(seed), F.lit(1), *[F.col(f"`{c}`") for c in docs.columns]).alias("identity"),
@@ -67,24 +72,24 @@ def external_shuffle(
         places = pa.array(np.arange(table.num_rows), pa.int64())
         return table.select(["row", "bucket"]).take(pa.array(drawn)).append_column("position", places)
 
-    shuffled = scattered.groupBy("bucket").applyInArrow(shuffle_bucket, kind)
-    return stored(unpacked(shuffled, "row", ["bucket", "position"]), "shuffled")
+    return stored(scattered.groupBy("bucket").applyInArrow(shuffle_bucket, kind), "shuffled")
 
 
 def shards(docs: DataFrame, n_shards: int = 24, **options) -> DataFrame:
-    """The shuffled records with their ``shard`` (from 0, sizes at most one row apart) and gapless ``slot`` in it."""
-    shuffled = external_shuffle(docs, **options)
+    """The shuffled records with their ``shard`` (from 0, sizes at most one row apart) and gapless ``slot`` in it;
+    both replace input columns of these names, all others are kept."""
+    # The input row goes through as one column, so that its own bucket or position is kept.
+    shuffled = _shuffled(docs, **options)
     counts = stored(shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows")), "shard-counts")
     n_buckets, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     starts = stored(running_start(counts, "_rows", "bucket", "_start").select("bucket", "_start"), "shard-starts")
     each, longer = divmod(total, n_shards)
     head = longer * (each + 1)
-    rows = shuffled.select(packed([c for c in shuffled.columns if c not in ("bucket", "position")]).alias("row"), "bucket", "position")
     at = F.col("_start") + F.col("position")
     in_head, rest = at < head, at - F.lit(head)
     shard = F.when(in_head, F.floor(at / (each + 1))).otherwise(longer + F.floor(rest / max(each, 1)))
     slot = F.when(in_head, at % (each + 1)).otherwise(rest % max(each, 1))
-    placed = rows.join(small(starts, n_buckets), "bucket").select("row", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    placed = shuffled.join(small(starts, n_buckets), "bucket").select("row", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
     return unpacked(placed, "row", ["shard", "slot"])
 
 
