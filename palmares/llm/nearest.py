@@ -135,11 +135,12 @@ def search(
     largest inner product, ties to the smaller key.
 
     Vectors that are null, zero, hold null or non-finite components, or have another length than most vectors, and rows
-    without a key take no part. Rows that repeat a key with the same vector count once; a query's own key is never
+    without a key take no part; of equally frequent lengths the smallest counts. Components may be floats, doubles or whole
+    numbers: codes are of single precision, scores of the components as given. Rows that repeat a key with the same vector count once; a query's own key is never
     among its neighbours. An empty table gives no rows.
     """
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("embedding")).filter(F.col("id").isNotNull())
-    dim = rows.filter(F.size("embedding") > 0).agg(F.mode(F.size("embedding"))).first()[0] or 1
+    dim = rows.filter(F.size("embedding") > 0).agg(F.mode(F.size("embedding"), deterministic=True)).first()[0] or 1
     rows = rows.filter(valid(F.col("embedding"), dim)).withColumn("vector", F.xxhash64("embedding"))
     # Copies of a vector: the smallest ids are enough, one more than asked for since a query skips its own.
     members = stored(top_k_per_group(rows.select("vector", "id").distinct().withColumn("back", -F.col("id")), ["vector"], top + 1, "back"), "nn-members")
@@ -150,7 +151,7 @@ def search(
         F.count(F.lit(1)), F.count_if("asked"), *[F.coalesce(F.avg(F.get("embedding", F.lit(i))), F.lit(0.0)) for i in range(dim)]
     ).first()
     middle, bits = np.array(centre, np.float32), max(code_bits, dim)
-    codes = stored(distinct.select("vector", "first", "embedding").mapInArrow(encoder(dim, bits, middle, seed), CODES), "nn-codes")
+    codes = stored(distinct.select("vector", "first", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(encoder(dim, bits, middle, seed), CODES), "nn-codes")
     query_groups, code_groups = max(1, ceil(n_asked / query_rows)), max(1, ceil(n / code_rows))
     group = lambda c, groups: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(groups)).cast("int")
     every_group = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))

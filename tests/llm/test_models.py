@@ -191,3 +191,17 @@ def test_few_vectors_and_none(spark):
     assert nearest.search(spark.createDataFrame([], schema)).collect() == []
     few = nearest.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0])], schema)).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 1, 1.0), (0, 2, 3, -1.0)]
+
+
+def test_double_vectors_and_equally_frequent_lengths(spark):
+    draw = np.random.default_rng(3)
+    vectors = [(i, draw.normal(size=6).tolist()) for i in range(60)]
+    frame = spark.createDataFrame([*vectors, *[(100 + i, [1.0] * 7) for i in range(60)]], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest.search(frame, top=5, every=20).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    product = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for q in (0, 20, 40):
+        best = sorted(((i, product(vectors[q][1], v)) for i, v in vectors if i != q), key=lambda p: -p[1])[:5]
+        assert [i for i, _ in found.pop(q)] == [i for i, _ in best]
+    assert not found
