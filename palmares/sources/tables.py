@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palmares.store import open_folders
+
 
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Create a database if it is missing, in ``location`` or in the warehouse of the session."""
@@ -32,11 +34,13 @@ def drop_database(spark: SparkSession, name: str) -> None:
 
 
 def append_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("append").format("parquet").partitionBy(*partition_by).saveAsTable(name)
+    with open_folders(df.sparkSession):
+        df.write.mode("append").format("parquet").partitionBy(*partition_by).saveAsTable(name)
 
 
 def overwrite_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(name)
+    with open_folders(df.sparkSession):
+        df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(name)
 
 
 def peek(spark: SparkSession, name: str, n: int = 5, order: Sequence[str] = ()) -> DataFrame:

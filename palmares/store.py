@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def open_folders(spark: SparkSession, most: int = 8) -> Iterator[None]:
+    """Partitioned writes in this block keep the files of up to ``most`` folders open in each task.
+
+    Spark otherwise sorts all rows of a task by folder first, as rows of memory: many times the size of the file split that
+    they come from. Rows of folders beyond ``most`` are still sorted. A number that the session has set itself holds.
+    """
+    option = "spark.sql.maxConcurrentOutputFileWriters"
+    if spark.conf.get(option, None) is not None:
+        yield
+        return
+    spark.conf.set(option, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(option)
+
+
 def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and return the frame that reads it back.
 
@@ -50,7 +69,8 @@ def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with open_folders(spark):
+        df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out.stored_path = path
     return out
