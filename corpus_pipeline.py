@@ -6,23 +6,31 @@ Every stage takes (spark, docs, folder) and returns a frame that is written as P
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palmares.llm import bpe, exact, jaccard, language, mixing
-from palmares.llm.common import packed, unpacked
 from palmares.llm.queries import RANKS, token_digests
 from palmares.sources.files import table
 from palmares.store import stored
 
 
+def set_aside(docs: DataFrame, added: Sequence[str]) -> dict[str, str]:
+    """Other names for columns of the input that a stage would replace by its own, so that they go through."""
+    return {c: f"input {c}" for c in docs.columns if c.lower() in added}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose text has a language; texts without a letter, and null ones, go, and no others: neither the language
     nor its score decides. Without labelled rows to learn from, texts with a letter stay."""
-    rows, model = docs.select(packed(docs.columns).alias("row"), "text"), language.fit(docs)
+    model = language.fit(docs)
     if not model.groups:
-        return unpacked(rows.filter(F.col("text").rlike(r"\p{L}")), "row", [])
-    return unpacked(language.identified(rows, model).filter(F.col("lang_pred") != language.UNKNOWN), "row", [])
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    own = set_aside(docs, ("lang_pred", "score"))
+    found = language.identified(docs.withColumnsRenamed(own), model).filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -37,8 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents as the mix takes them: repeated, whole, or cut at the ends of a source's quota."""
-    # Columns that the mix adds replace ones of their names, so the input's go through under others.
-    own = {c: f"input {c}" for c in docs.columns if c.lower() in ("shard", "epoch", "first_word", "n_words")}
+    own = set_aside(docs, ("shard", "epoch", "first_word", "n_words"))
     mix = mixing.mixed(docs.withColumnsRenamed(own), n_chars="n_chars")
     return mix.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 

@@ -9,6 +9,7 @@ stay in a bounded memory of the worker. Nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
@@ -140,9 +141,23 @@ class Merges:
         return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in split]
 
 
-@lru_cache(maxsize=2)
-def _merges(name: str, pattern: str, shared) -> Merges:
-    return Merges(shared.value, pattern)
+class _Shared:
+    """A broadcast vocabulary, equal to any other broadcast of the same content."""
+
+    def __init__(self, digest: str, broadcast):
+        self.digest, self.broadcast = digest, broadcast
+
+    def __eq__(self, other) -> bool:
+        return self.digest == other.digest
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+
+@lru_cache(maxsize=1)
+def _merges(shared: _Shared, pattern: str) -> Merges:
+    """One vocabulary and its words for each worker, also when later jobs broadcast it anew."""
+    return Merges(shared.broadcast.value, pattern)
 
 
 def _chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
@@ -177,7 +192,9 @@ def encode(
     The file of ranks is read by the driver and broadcast: its size is that of the vocabulary, whatever the corpus.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    with open(ranks_path, "rb") as file:
+        digest = hashlib.file_digest(file, "sha256").hexdigest()
+    shared = _Shared(digest, spark.sparkContext.broadcast(read_ranks(ranks_path)))
     added = [target] + ([decoded] if decoded else [])
     others = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in others])
@@ -185,7 +202,7 @@ def encode(
     kind = T.StructType(fields + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
 
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(f"{ranks_path}:{shared.id if hasattr(shared, 'id') else 0}", pattern, shared)
+        merges = _merges(shared, pattern)
         for batch in batches:
             sizes = [n or 0 for n in pc.utf8_length(batch.column(0)).to_pylist()]
             for start, end in _chunks(sizes, chunk_chars):

@@ -3,13 +3,14 @@
 Families are found from the training texts: languages whose mean n-gram frequencies are most alike are merged until
 there are about the square root of their number. One linear support vector machine tells each family from the others;
 within a family one machine for each pair of languages decides (one versus one). Features are frequencies of hashed byte
-trigrams of the lower-cased text. The machines are fitted on a bounded sample of labelled rows; every whole text is
-predicted in the scan that reads it, with the weights as the only thing sent to the tasks (bounded by the languages).
+trigrams of the lower-cased text; the fit holds only those that a text has. The machines are fitted on a bounded sample
+of labelled rows; every whole text is predicted in the scan that reads it, with the weights as the only thing sent to the
+tasks (bounded by the languages).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import isqrt
 
@@ -38,19 +39,57 @@ def counts(text: str) -> np.ndarray:
     return np.bincount(places, minlength=DIM) / max(len(places), 1)
 
 
-def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 30, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, by dual coordinate descent; ``y`` holds -1 and 1."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    weight, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    square = (x * x).sum(axis=1) + 1 / (2 * cost)
+#: A packed vector has one such record for each share above zero, in the order of places. Its bytes sort like those of the
+#: whole vector: an earlier place makes a larger vector.
+RECORD = np.dtype([("before_end", ">u2"), ("share", "<f4")])
+
+
+def pack(vector: np.ndarray) -> bytes:
+    """The shares above zero of a vector, some hundreds of its ``DIM`` for a usual text."""
+    at = np.flatnonzero(vector)
+    out = np.empty(len(at), RECORD)
+    out["before_end"], out["share"] = DIM - at, vector[at]
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places and shares of a packed vector."""
+    records = np.frombuffer(data, RECORD)
+    return DIM - records["before_end"].astype(np.int32), records["share"].astype(float)
+
+
+def mean_profile(vectors: Sequence[bytes]) -> np.ndarray:
+    """The mean of packed vectors."""
+    total = np.zeros(DIM)
+    for at, share in map(unpack, vectors):
+        total[at] += share
+    return total / max(len(vectors), 1)
+
+
+def support_vector_machine(x: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 10.0, epochs: int = 30, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss, by dual coordinate descent; ``y`` holds -1 and 1, and
+    each row of ``x`` its places and values other than zero."""
+    weight, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(x))
+    square = np.array([value @ value for _, value in x]) + 1 + 1 / (2 * cost)
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in draw.permutation(len(x)):
-            slope = y[i] * (x[i] @ weight) - 1 + alpha[i] / (2 * cost)
+            at, value = x[i]
+            slope = y[i] * (value @ weight[at] + bias) - 1 + alpha[i] / (2 * cost)
             step = max(alpha[i] - slope / square[i], 0.0)
-            weight += (step - alpha[i]) * y[i] * x[i]
+            change = (step - alpha[i]) * y[i]
+            weight[at] += change * value
+            bias += change
             alpha[i] = step
-    return weight[:-1], float(weight[-1])
+    return weight, float(bias)
+
+
+def machine(rows: pd.DataFrame) -> pd.DataFrame:
+    """(task, weight, bias) of the machine of one task, from its rows (task, lang, vector, side)."""
+    rows = rows.sort_values(["lang", "vector"])
+    x = [(at, np.sqrt(share)) for at, share in map(unpack, rows["vector"])]
+    weight, bias = support_vector_machine(x, rows["side"].to_numpy())
+    return pd.DataFrame({"task": [rows["task"].iloc[0]], "weight": [weight.astype(np.float32).tobytes()], "bias": [bias]})
 
 
 def families(profiles: dict[str, np.ndarray]) -> list[list[str]]:
@@ -114,13 +153,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                values = [counts(t).astype(np.float32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in values], pa.binary())], names=["lang", "vector"])
+                values = [pack(counts(t.as_py()).astype(np.float32)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.binary())], names=["lang", "vector"])
 
     examples = stored(chosen.mapInArrow(vectors, "lang string, vector binary"), "lang-examples")
-    unpack = lambda column: np.stack([np.frombuffer(v, np.float32) for v in column]).astype(float)
     profile = examples.groupBy("lang").applyInPandas(
-        lambda key, rows: pd.DataFrame({"lang": [key[0]], "profile": [unpack(rows["vector"]).mean(axis=0).astype(np.float32).tobytes()]}),
+        lambda key, rows: pd.DataFrame({"lang": [key[0]], "profile": [mean_profile(rows["vector"]).astype(np.float32).tobytes()]}),
         "lang string, profile binary",
     )
     groups = families({r["lang"]: np.frombuffer(r["profile"], np.float32) for r in profile.collect()})
@@ -133,13 +171,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     sides = [(i, name, side.get(name, -1.0)) for i, (task, side) in enumerate(tasks) for name in (everyone if task[0] == "family" else side)]
     roles = spark.createDataFrame(sides, "task int, lang string, side double")
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["lang", "vector"])
-        x, y = unpack(rows["vector"]), rows["side"].to_numpy()
-        weight, bias = support_vector_machine(np.sqrt(x), y)
-        return pd.DataFrame({"task": [rows["task"].iloc[0]], "weight": [weight.astype(np.float32).tobytes()], "bias": [bias]})
-
-    fitted = examples.join(F.broadcast(roles), "lang").groupBy("task").applyInPandas(train, "task int, weight binary, bias double")
+    fitted = examples.join(F.broadcast(roles), "lang").groupBy("task").applyInPandas(machine, "task int, weight binary, bias double")
     return Hierarchy(groups, {tasks[r["task"]][0]: (np.frombuffer(r["weight"], np.float32), r["bias"]) for r in fitted.collect()})
 
 
