@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from palmares.llm.common import kept_by_worker
+
 CHUNK_CHARS = 1 << 21
 MEMORY_WORDS = 250_000
 #: Bytes of new words merged together (one longer word is merged alone), and pairs of tokens whose rank is remembered.
@@ -154,6 +156,7 @@ class _Shared:
         return hash(self.digest)
 
 
+@kept_by_worker
 @lru_cache(maxsize=1)
 def _merges(shared: _Shared, pattern: str) -> Merges:
     """One vocabulary and its words for each worker, also when later jobs broadcast it anew."""

@@ -6,13 +6,19 @@ with a working column; ``unpacked`` lays them out again and lets the added colum
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1 << 20
+#: Bytes of text that a task turns into Python objects at once; one longer text is taken alone.
+SLICE_BYTES = 1 << 21
+
+_kept_by_worker: list[Callable] = []
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -53,6 +59,31 @@ def running_start(df: DataFrame, amount: str, order: str, target: str, by: Seque
     return within.join(totals, [*by, "_block"]).withColumn(target, F.col("_before") + F.col("_within")).drop("_block", "_before", "_within")
 
 
+def kept_by_worker(cached: Callable) -> Callable:
+    """Mark an ``lru_cache`` whose values a Python worker keeps between tasks, until tasks of other operators ``let_go``."""
+    _kept_by_worker.append(cached)
+    return cached
+
+
+def let_go() -> None:
+    """Drop what earlier tasks of other operators have left in this Python worker."""
+    for cached in _kept_by_worker:
+        cached.cache_clear()
+
+
+def slices(batch: pa.RecordBatch, text: pa.Array, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of rows of ``batch`` with their texts, ``most`` bytes of text together or a single row."""
+    start = total = 0
+    most = most or SLICE_BYTES
+    for at, size in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+        if at > start and total + size > most:
+            yield batch.slice(start, at - start), text.slice(start, at - start).to_pylist()
+            start, total = at, 0
+        total += size
+    if start < batch.num_rows:
+        yield batch.slice(start), text.slice(start).to_pylist()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table of narrow rows whose counted size is at most ``BROADCAST_ROWS``; larger ones stay plain joins."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -22,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from palmares.llm.common import packed, unpacked
+from palmares.llm.common import let_go, packed, slices, unpacked
 from palmares.llm.components import smallest_reachable
 from palmares.store import discard, stored
 
@@ -136,6 +137,15 @@ def _passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def several(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two of the sets or more hold, and how many do. Empties the list: the shingles are held twice at most."""
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    sets.clear()
+    flat.sort()
+    tokens, n = np.unique(flat[1:][flat[1:] == flat[:-1]], return_counts=True)
+    return tokens, n + 1
+
+
 def common_classes(rows: DataFrame, words: int) -> np.ndarray:
     """For hashes modulo ``BINS`` the logarithm of how many sets hold a common shingle; 0 for rare ones.
 
@@ -144,14 +154,17 @@ def common_classes(rows: DataFrame, words: int) -> np.ndarray:
     """
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sets = {}
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, words)
-                sets[set_id(tokens)] = tokens
-            tokens, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            again = n > 1
-            yield pa.RecordBatch.from_arrays([_signed(tokens[again]), pa.array(n[again], pa.int64())], names=["token", "n"])
+            for _, texts in slices(batch, batch.column(0)):
+                for text in texts:
+                    tokens = shingles(text, words)
+                    sets[set_id(tokens)] = tokens
+            held = list(sets.values())
+            sets.clear()
+            tokens, n = several(held)
+            yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(n, pa.int64())], names=["token", "n"])
 
     counted = rows.select("text").mapInArrow(repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     token = F.col("token")
@@ -186,14 +199,16 @@ class Join:
         classes = spark.sparkContext.broadcast(common_classes(rows, words))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             order = classes.value
             for batch in batches:
-                sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-                first = [prefix(s, order, percent) if len(s) else s for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([f.tobytes() for f in first], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
-                ], names=["key", "set", "n", "prefix", "sketch"])
+                for part, texts in slices(batch, batch.column(1)):
+                    sets = [shingles(t, words) for t in texts]
+                    first = [prefix(s, order, percent) if len(s) else s for s in sets]
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([f.tobytes() for f in first], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
+                    ], names=["key", "set", "n", "prefix", "sketch"])
 
         kind = f"key {rows.schema['key'].dataType.simpleString()}, set long, n long, prefix binary, sketch binary"
         wide = stored(rows.select("key", "text").mapInArrow(read, kind), "jaccard-wide")
@@ -250,14 +265,18 @@ class Join:
         screen, words = self.rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "set")), self.words
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
             for batch in batches:
-                sets = {}
-                for text in batch.column(0).to_pylist():
-                    tokens = shingles(text, words)
-                    name = set_id(tokens)
-                    if name not in sets and _passes(screen.value, np.array([name]))[0]:
-                        sets[name] = tokens.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["set", "tokens"])
+                sets, before = {}, set()
+                for _, texts in slices(batch, batch.column(0)):
+                    for text in texts:
+                        tokens = shingles(text, words)
+                        name = set_id(tokens)
+                        if name not in before and _passes(screen.value, np.array([name]))[0]:
+                            before.add(name)
+                            sets[name] = tokens.tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["set", "tokens"])
+                    sets.clear()
 
         found = self.rows.select("text").mapInArrow(read, "set long, tokens binary")
         members = stored(found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens")), "jaccard-members")
@@ -284,8 +303,8 @@ class Join:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 far, linked = [], []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     union = len(a) + len(b) - both
                     far.append(1 - both / union)
@@ -416,11 +435,15 @@ def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dropped = stored(dropped.distinct(), "jaccard-dropped")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            ids = [set_id(shingles(t, words)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64())], names=["row", "key", "set"])
+            for part, texts in slices(batch, pc.struct_field(batch.column(0), [place])):
+                ids = [set_id(shingles(t, words)) for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64())], names=["row", "key", "set"])
 
-    rows = docs.select(packed(docs.columns).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    # The text goes to Python once, within its row.
+    place = [c.lower() for c in docs.columns].index(text.lower())
+    rows = docs.select(packed(docs.columns).alias("row"), F.col(f"`{key}`").alias("key"))
     kind = T.StructType([rows.schema["row"], rows.schema["key"], T.StructField("set", T.LongType())])
     same = (F.col("set") == F.col("out_set")) & F.col("key").eqNullSafe(F.col("out"))
     return unpacked(rows.mapInArrow(named, kind).join(dropped, same, "left_anti"), "row", [])

@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from palmares.llm.common import let_go
 from palmares.store import stored
 
 DIM = 1 << 13
@@ -150,6 +151,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     chosen = labelled.join(F.broadcast(stored(amounts, "lang-amounts")), "lang").filter(share).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
@@ -185,6 +187,7 @@ def identified(docs: DataFrame, model: Hierarchy, text: str = "text", prediction
     at = others.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         fitted = shared.value
         for batch in batches:
             found = [fitted.predict(t.as_py()) for t in batch.column(at)]

@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from palmares.llm import bpe, language
+from palmares.llm import bpe, common, jaccard, language
 
 
 def dense_machine(x, y, cost=10.0, epochs=30, seed=3):
@@ -57,3 +58,37 @@ def test_a_worker_keeps_one_vocabulary_for_all_broadcasts():
     assert bpe._merges(bpe._Shared("a", Sent()), ".") is one
     assert bpe._merges(bpe._Shared("b", Sent()), ".") is not one
     assert bpe._merges.cache_info().currsize == 1
+
+
+def test_a_vocabulary_goes_when_another_operator_takes_the_worker():
+    class Sent:
+        value = {bytes([b]): b for b in range(256)}
+
+    one = bpe._merges(bpe._Shared("a", Sent()), ".")
+    common.let_go()
+    assert bpe._merges.cache_info().currsize == 0
+    assert bpe._merges(bpe._Shared("a", Sent()), ".") is not one
+
+
+def test_texts_become_objects_a_slice_at_a_time():
+    texts = ["a" * 5, None, "ß" * 3, "", "x" * 50, "yy"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["key", "text"])
+    found = [(part.column(0).to_pylist(), cut) for part, cut in common.slices(batch, batch.column(1), 11)]
+    assert found == [([0, 1, 2, 3], texts[:4]), ([4], texts[4:5]), ([5], texts[5:])]
+    assert list(common.slices(batch.slice(0, 0), batch.column(1).slice(0, 0))) == []
+
+
+def test_shared_shingles_are_counted_in_little_more_than_the_sets():
+    draw = np.random.default_rng(5)
+    common_ones = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common_ones[: i % 100], draw.integers(1 << 40, 1 << 62, 2_000, dtype=np.uint64)])) for i in range(1_000)]
+    tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+    size = sum(s.nbytes for s in sets)
+    tracemalloc.start()
+    found = jaccard.several(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found[0] == tokens[n > 1]).all() and (found[1] == n[n > 1]).all() and not sets
+    # The counts of all shingles would take another 2.5 times their size.
+    assert peak < 1.4 * size
+    assert all(len(x) == 0 for x in jaccard.several([]))
