@@ -3,7 +3,7 @@
 Tasks take their texts a few megabytes at a time. The distinct words (matches of the pattern) that a worker has not met
 yet are laid end to end, and all of them are merged together: an inverted index from the rank of a pair of neighbours to
 its positions in all words yields the merges in rank order, and a merge touches its neighbours only. Words and their ids
-stay in a bounded memory of the worker. Nothing is shuffled.
+stay in a bounded memory of the worker; when it is full, words that no later chunk has met again go. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from palmares.llm.common import kept_by_worker
 CHUNK_CHARS = 1 << 21
 MEMORY_WORDS = 250_000
 #: Bytes of new words merged together (one longer word is merged alone), and pairs of tokens whose rank is remembered.
-LEARNT_BYTES, MEMORY_PAIRS = 1 << 20, 1 << 20
+LEARNT_BYTES, MEMORY_PAIRS = 1 << 18, 1 << 20
 
 #: The usual pattern, and the same for texts up to U+024F in classes that Python's own matcher looks up in one step.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,6 +42,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class _Pairs(dict):
+    """The rank of each pair of tokens asked for (the left one times 2^32 plus the right one), -1 if they do not merge."""
+
+    def __init__(self, ranks: Mapping[bytes, int], tokens: Mapping[int, bytes]):
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, pair: int) -> int:
+        found = self[pair] = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
+        return found
+
+
+class _Places(dict):
+    """The positions of each rank, and the ranks that have some as a heap."""
+
+    def __init__(self, places: Mapping[int, list[int]]):
+        super().__init__(places)
+        self.order = list(places)
+        heapify(self.order)
+
+    def __missing__(self, rank: int) -> list[int]:
+        heappush(self.order, rank)
+        found = self[rank] = []
+        return found
+
+
 class Merges:
     """The vocabulary of a worker, and the ids (as bytes of int32) of the words it has met last."""
 
@@ -53,7 +78,8 @@ class Merges:
         self.single = np.array([ranks[a] for a in letters], np.int32)
         self.letter_pairs = np.array([ranks.get(a + b, -1) for a in letters for b in letters], np.int32)
         self.known: dict[str, bytes] = {}
-        self.merged: dict[int, int] = {}
+        self.again: set[str] = set()
+        self.merged = _Pairs(ranks, self.tokens)
 
     def split(self, text: str) -> list[str]:
         if self.usual and (text.isascii() or not _BEYOND_LATIN.search(text)):
@@ -102,11 +128,11 @@ class Merges:
 
         ``now`` holds the rank of every position's pair with its neighbour ``after``, ``places`` the positions of a rank.
         """
-        merged, ranks, tokens = self.merged, self.ranks, self.tokens
-        order = list(places)
-        heapify(order)
+        merged, places = self.merged, _Places(places)
+        order = places.order
         while order:
             rank = heappop(order)
+            high = rank << 32
             for at in sorted(places.pop(rank)):
                 if now[at] != rank:
                     continue
@@ -115,29 +141,32 @@ class Merges:
                 token[at], token[then], now[at], now[then] = rank, -1, -1, -1
                 if behind >= 0:
                     before[behind] = at
-                for left, right in ((before[at], at), (at, behind)):
-                    if left < 0 or right < 0:
-                        continue
-                    pair = token[left] << 32 | token[right]
-                    new = merged.get(pair)
-                    if new is None:
-                        new = merged[pair] = ranks.get(tokens[token[left]] + tokens[token[right]], -1)
-                    now[left] = new
-                    if new in places:
+                    new = now[at] = merged[high | token[behind]]
+                    if new >= 0:
+                        places[new].append(at)
+                left = before[at]
+                if left >= 0:
+                    new = now[left] = merged[token[left] << 32 | rank]
+                    if new >= 0:
                         places[new].append(left)
-                    elif new >= 0:
-                        places[new] = [left]
-                        heappush(order, new)
         return token
 
+    def _forget(self, met: set[str], fresh: set[str]) -> None:
+        """Keep words that were met again after they were learnt, or are now; only the latter if all are too many."""
+        kept = self.again | met
+        for known in ({w: ids for w, ids in self.known.items() if w in some} for some in (kept, met)):
+            if len(known) + len(fresh) <= MEMORY_WORDS:
+                break
+        self.known, self.again = known, set()
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         split = [self.split(text) for text in texts]
         met = set().union(*split)
         fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.known.clear()
-            self.merged.clear()
-            fresh = met
+            self._forget(met, fresh)
+        else:
+            self.again |= met - fresh
         self.learn(fresh)
         known = self.known.__getitem__
         return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in split]

@@ -42,6 +42,18 @@ def test_a_full_memory_changes_nothing(monkeypatch):
         assert merges.encode([text])[0].tolist() == OWN[NAMES[0]].encode_ordinary(text)
 
 
+def test_words_met_again_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 6)
+    merges, learnt = bpe.Merges(RANKS[NAMES[0]], PATTERN), []
+    learn = merges.learn
+    monkeypatch.setattr(merges, "learn", lambda words: (learnt.append(sorted(words)), learn(words)))
+    texts = ["abra kadabra", "abra one", "two three six", "abra", "kadabra zzzx zzzy zzzz zzza zzzb zzzc zzzd"]
+    for text in texts:
+        assert merges.encode([text])[0].tolist() == OWN[NAMES[0]].encode_ordinary(text)
+        assert len(merges.known) <= 8
+    assert learnt[:4] == [[" kadabra", "abra"], [" one"], [" six", " three", "two"], []]
+
+
 def test_frames_round_trip(spark):
     path = public_tokenizers.path(NAMES[0])
     rows = [(i, t, "old", 7) for i, t in enumerate([*TEXTS, None, "long text " * 60_000, "again", "again"])]
