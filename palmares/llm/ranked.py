@@ -24,7 +24,6 @@ from palmares.llm.common import running_start
 from palmares.operators.ranking import number_rows, top_k_per_group
 from palmares.store import discard, stored
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 #: Terms of a block of queries (a query is never cut), and postings of a shard.
 BLOCK_TERMS, SHARD_POSTINGS = 1 << 20, 1 << 20
@@ -39,10 +38,25 @@ def terms_of(data: bytes) -> list[bytes]:
     return data.translate(_BYTES).split()
 
 
-def with_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, digest, text, n): every row with a hash of its text and its number of terms; null texts have none."""
-    n = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(TERM)), F.lit(0)).cast("long")
-    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{text}`").alias("text"), n.alias("n"))
+def with_digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, digest, text): every row with a hash of its text."""
+    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{text}`").cast("binary").alias("text"))
+
+
+def totals(rows: DataFrame) -> tuple[int, int]:
+    """The number of rows that hold a term, and of all their terms with repeats."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = length = 0
+        for batch in batches:
+            for text in batch.column(0):
+                n = len(terms_of(text.as_py() or b""))
+                documents += n > 0
+                length += n
+        yield pa.RecordBatch.from_pydict({"documents": [documents], "length": [length]})
+
+    found = rows.select("text").mapInArrow(count, "documents long, length long")
+    return tuple(found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("documents", "length")]).first())
 
 
 def query_terms(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,35 +80,37 @@ def documents_of(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value.get
         for batch in batches:
-            rows, lists, tallies = [], [], []
+            rows, sizes, lists, tallies = [], [], [], []
             size = 0
 
             def held() -> pa.RecordBatch:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
                 flat = [pa.array(np.concatenate([np.fromiter(x, np.int64, len(x)) for x in some]), kind) for some, kind in ((lists, pa.int32()), (tallies, pa.int64()))]
-                columns = [batch.column(i).take(pa.array(rows)) for i in (0, 1, 2)]
-                return pa.RecordBatch.from_arrays([*columns, *[pa.ListArray.from_arrays(offsets, f) for f in flat]], names=["key", "digest", "n", "codes", "counts"])
+                columns = [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), *[pa.ListArray.from_arrays(offsets, f) for f in flat]], names=["key", "digest", "n", "codes", "counts"])
 
             for at in range(batch.num_rows):
-                data = batch.column(3)[at].as_py()
+                data = batch.column(2)[at].as_py()
                 if not data:
                     continue
                 size += len(data)
-                found = Counter(map(code, terms_of(data)))
+                terms = terms_of(data)
+                found = Counter(map(code, terms))
                 found.pop(None, None)
                 if found:
                     rows.append(at)
+                    sizes.append(len(terms))
                     lists.append(found.keys())
                     tallies.append(found.values())
                 if rows and size > CHUNK_BYTES:
                     yield held()
-                    rows, lists, tallies, size = [], [], [], 0
+                    rows, sizes, lists, tallies, size = [], [], [], [], 0
             if rows:
                 yield held()
 
     key = docs.schema["key"].dataType.simpleString()
     kind = f"key {key}, digest long, n long, codes array<int>, counts array<long>"
-    found = docs.select("key", "digest", "n", F.col("text").cast("binary").alias("text")).mapInArrow(count, kind)
+    found = docs.select("key", "digest", "text").mapInArrow(count, kind)
     return found.groupBy("key", "digest", "n").agg(F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes"), F.first("counts").alias("counts"))
 
 
@@ -218,8 +234,8 @@ def search(
     one. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    rows = with_counts(docs, key, text)
-    documents, length = rows.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = with_digests(docs, key, text)
+    documents, length = totals(rows)
     asked = query_terms(items, item, text)
     numbered = number_rows(asked.groupBy("item").agg(F.count(F.lit(1)).alias("terms")), ["item"], "number")
     numbered = stored(running_start(numbered, "terms", "number", "start").withColumn("block", F.floor(F.col("start") / block_terms)), "ranked-items")

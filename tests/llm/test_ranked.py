@@ -69,6 +69,19 @@ def test_a_third_of_all_rows_alike(spark):
     assert found(spark, docs, items + [(90, "rare w3")], shard_postings=25) == plain(docs, items + [(90, "rare w3")])
 
 
+def test_terms_are_counted_where_they_are_split(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a regular expression over whole texts takes most of the run")
+
+    _, docs, items = corpus(8, 40)
+    docs += [(900, None), (901, ""), (902, "?! ~"), (903, "É日本 w1\x85w1\u00a0w2"), (904, "A" * 70000 + " a")]
+    monkeypatch.setattr(ranked.F, "regexp_count", refused)
+    assert found(spark, docs, items + [(90, "w1\x85w1\u00a0w2")]) == plain(docs, items + [(90, "w1\x85w1\u00a0w2")])
+    counted = [len(terms(t)) for _, t in docs]
+    rows = spark.createDataFrame(docs, "key long, text string").repartition(3)
+    assert ranked.totals(ranked.with_digests(rows, "key", "text")) == (sum(n > 0 for n in counted), sum(counted))
+
+
 def test_empty_tables(spark):
     _, docs, items = corpus(6, 5)
     assert found(spark, [], items) == [] and found(spark, docs, []) == [] and found(spark, [(1, None)], items) == []
