@@ -27,9 +27,10 @@ def _once(spark: SparkSession, folder: str, label: str, build, refresh: bool = F
 def join_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Raw rows as a plan over the tables.
 
-    Orders meet their customers before the line items, which are then shuffled once per join key. Orders and line
-    items grow together, so their join is a sort-merge: left alone, the planner overrates the size of the joined
-    orders and broadcasts the line items while these are below its threshold.
+    Orders meet their customers before the line items, and line items their parts before the orders: once parts are too
+    large to broadcast, line items are shuffled by part while they are narrow, not with the columns of orders and
+    customers. Orders and line items grow together, so their join is a sort-merge: left alone, the planner overrates
+    the size of the joined orders and broadcasts the line items while these are below its threshold.
     """
     customers = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
@@ -37,8 +38,8 @@ def join_tables(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     rows = (
         table(spark, folder, "lineitem")
-        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     )
     season = F.when(F.month("o_orderdate") <= 6, F.lit(WINTER)).otherwise(F.lit(SUMMER))
     turn = (F.col("l_orderkey") + F.col("l_linenumber")) % 4
