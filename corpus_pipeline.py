@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palmares.llm import bpe, exact, jaccard, language, mixing
 from palmares.llm.queries import RANKS, token_digests
 from palmares.sources.files import table
-from palmares.store import stored
+from palmares.store import narrow_batches, stored
 
 
 def set_aside(docs: DataFrame, added: Sequence[str]) -> dict[str, str]:
@@ -51,8 +51,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token counts and digests of the ids and of the bytes they decode to, one row for each row of the mix."""
-    return token_digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded"))
+    """Token counts and digests of the ids and of the bytes they decode to, one row for each row of the mix.
+
+    They are written here, since only a write can narrow the batches of texts that executors and workers hold."""
+    with narrow_batches(spark):
+        return stored(token_digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded")), "pipeline-digests")
 
 
 STAGES = [

@@ -1,6 +1,6 @@
 """Byte-level BPE over whole texts, by merge replay.
 
-Tasks take their texts a few megabytes at a time. The distinct words (matches of the pattern) that a worker has not met
+Tasks take their texts about a megabyte at a time. The distinct words (matches of the pattern) that a worker has not met
 yet are laid end to end, and all of them are merged together: an inverted index from the rank of a pair of neighbours to
 its positions in all words yields the merges in rank order, and a merge touches its neighbours only. Words and their ids
 stay in a bounded memory of the worker; when it is full, words that no later chunk has met again go. Nothing is shuffled.
@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from palmares.llm.common import kept_by_worker
+from palmares.llm.common import gives_back, kept_by_worker
 
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 MEMORY_WORDS = 250_000
 #: Bytes of new words merged together (one longer word is merged alone), and pairs of tokens whose rank is remembered.
 LEARNT_BYTES, MEMORY_PAIRS = 1 << 18, 1 << 20
@@ -233,6 +233,7 @@ def encode(
     fields = [*rows.schema.fields[1:], T.StructField(target, T.ArrayType(T.IntegerType(), False))]
     kind = T.StructType(fields + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
 
+    @gives_back
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(shared, pattern)
         for batch in batches:

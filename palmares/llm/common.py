@@ -6,7 +6,9 @@ with a working column; ``unpacked`` lays them out again and lets the added colum
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,6 +73,24 @@ def let_go() -> None:
         cached.cache_clear()
 
 
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system; the worker waits for tasks long after this one."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def gives_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over whole texts that does not leave their memory with its worker."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, text: pa.Array, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Runs of rows of ``batch`` with their texts, ``most`` bytes of text together or a single row."""
     start = total = 0

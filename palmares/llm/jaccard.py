@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from palmares.llm.common import let_go, packed, slices, unpacked
+from palmares.llm.common import gives_back, let_go, packed, slices, unpacked
 from palmares.llm.components import smallest_reachable
 from palmares.store import discard, stored
 
@@ -153,6 +153,7 @@ def common_classes(rows: DataFrame, words: int) -> np.ndarray:
     cannot see costs time and never a link. The table is bounded by ``BINS``.
     """
 
+    @gives_back
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
@@ -198,6 +199,7 @@ class Join:
         spark = rows.sparkSession
         classes = spark.sparkContext.broadcast(common_classes(rows, words))
 
+        @gives_back
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             let_go()
             order = classes.value
@@ -264,6 +266,7 @@ class Join:
         wanted = stored(pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct(), "jaccard-wanted")
         screen, words = self.rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "set")), self.words
 
+        @gives_back
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             let_go()
             for batch in batches:
@@ -434,6 +437,7 @@ def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dropped = found.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("out"), F.col("set").alias("out_set"))
     dropped = stored(dropped.distinct(), "jaccard-dropped")
 
+    @gives_back
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from palmares.llm.common import let_go
+from palmares.llm.common import gives_back, let_go
 from palmares.store import stored
 
 DIM = 1 << 13
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share = F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) * F.col("rows") < F.lit(sample << 30)
     chosen = labelled.join(F.broadcast(stored(amounts, "lang-amounts")), "lang").filter(share).select("lang", "text")
 
+    @gives_back
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
@@ -186,6 +187,7 @@ def identified(docs: DataFrame, model: Hierarchy, text: str = "text", prediction
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = others.index(text)
 
+    @gives_back
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         fitted = shared.value

@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,22 +44,38 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-@contextmanager
-def open_folders(spark: SparkSession, most: int = 8) -> Iterator[None]:
-    """Partitioned writes in this block keep the files of up to ``most`` folders open in each task.
+#: Bytes of rows that a task passes to its Python worker together in writes that say so.
+BATCH_BYTES = 1 << 22
 
-    Spark otherwise sorts all rows of a task by folder first, as rows of memory: many times the size of the file split that
-    they come from. Rows of folders beyond ``most`` are still sorted. A number that the session has set itself holds.
-    """
-    option = "spark.sql.maxConcurrentOutputFileWriters"
-    if spark.conf.get(option, None) is not None:
+
+@contextmanager
+def _option(spark: SparkSession, key: str, value: int) -> Iterator[None]:
+    """A session option that holds in this block. A value that the session has set itself stays."""
+    if spark.conf.get(key, None) is not None:
         yield
         return
-    spark.conf.set(option, most)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(option)
+        spark.conf.unset(key)
+
+
+def open_folders(spark: SparkSession, most: int = 8) -> AbstractContextManager[None]:
+    """Partitioned writes in this block keep the files of up to ``most`` folders open in each task.
+
+    Spark otherwise sorts all rows of a task by folder first, as rows of memory: many times the size of the file split that
+    they come from. Rows of folders beyond ``most`` are still sorted. A number that the session has set itself holds.
+    """
+    return _option(spark, "spark.sql.maxConcurrentOutputFileWriters", most)
+
+
+def narrow_batches(spark: SparkSession, most: int = BATCH_BYTES) -> AbstractContextManager[None]:
+    """Writes in this block pass rows to Python workers ``most`` bytes at a time, or a single row.
+
+    Spark otherwise gathers 10,000 rows, up to 64 MB of whole texts, and both the executor and its worker hold them.
+    """
+    return _option(spark, "spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:

@@ -1,12 +1,17 @@
 """What a Python worker holds: the fit of a language machine in proportion to the trigrams, one vocabulary for all jobs."""
 
+import re
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palmares.llm import bpe, common, jaccard, language
+from palmares.store import narrow_batches
 
 
 def dense_machine(x, y, cost=10.0, epochs=30, seed=3):
@@ -92,3 +97,47 @@ def test_shared_shingles_are_counted_in_little_more_than_the_sets():
     # The counts of all shingles would take another 2.5 times their size.
     assert peak < 1.4 * size
     assert all(len(x) == 0 for x in jaccard.several([]))
+
+
+def held_mb():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+def test_a_task_over_texts_gives_its_memory_back():
+    last = []
+
+    def task(batches):
+        for batch in batches:
+            held = [np.ones(4_000) for _ in range(5_000)]
+            last.append(held[-1])  # what lies behind freed memory keeps it from being returned
+            yield batch
+
+    common.give_back()
+    before = held_mb()
+    list(task(range(2)))
+    left = held_mb() - before
+    assert list(common.gives_back(task)(range(3))) == [0, 1, 2]
+    assert left > 100 and held_mb() - before < 40
+
+
+def test_the_last_stage_takes_texts_in_narrow_batches(spark, monkeypatch):
+    def sizes(docs, *_, **__):
+        def count(batches):
+            for batch in batches:
+                rows = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[0] * rows] * rows, pa.list_(pa.int32())), pa.array([b""] * rows)], names=["doc_id", "ids", "decoded"])
+
+        return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, ids array<int>, decoded binary")
+
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode", sizes)
+    docs = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1_000).alias("text"))
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(option)
+    found = corpus_pipeline.byte_bpe(spark, docs, "unused").agg(F.max("n_tokens"), F.count(F.lit(1))).first()
+    assert found[0] < 1_000 and found[1] == 3_000 and spark.conf.get(option) == before
+    spark.conf.set(option, 12_345_678)
+    try:
+        with narrow_batches(spark):
+            assert spark.conf.get(option) == "12345678"
+    finally:
+        spark.conf.unset(option)
