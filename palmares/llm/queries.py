@@ -117,8 +117,9 @@ def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_kneser_ney")
 def kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
     good = trusted_ids(spark, folder)
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text").join(small(good, good.count()), "doc_id", "left")
-    return kneser_ney.judged(docs, F.col("good"), ["doc_id", "lang"], source="threshold_from")
+    texts = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    docs = texts.join(small(good, good.count()), "doc_id", "left")
+    return kneser_ney.judged(docs, F.col("good"), ["doc_id", "lang"], source="threshold_from", texts=texts)
 
 
 @query("op10_rotated_codes")

@@ -78,6 +78,11 @@ def narrow_batches(spark: SparkSession, most: int = BATCH_BYTES) -> AbstractCont
     return _option(spark, "spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Writes in this block delete their shuffle files when they are done, not when the driver collects its garbage."""
+    return _option(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
+
+
 def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and return the frame that reads it back.
 
@@ -99,6 +104,11 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.stored_path)
 
 
+def discard_part(df: DataFrame, folder: str) -> None:
+    """Delete a folder of a table that ``stored`` has partitioned; nothing may read it any more."""
+    _delete(df.sparkSession, f"{df.stored_path}/{folder}")
+
+
 def stored_once(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame], refresh: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
     """The table of this session and key, written at first use; ``refresh`` replaces it."""
     mine = _kept.setdefault(spark.sparkContext.applicationId, {})

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -157,6 +158,82 @@ def test_languages_with_few_trusted_texts_have_a_threshold(spark):
         assert found[i]["kept"] == (good or not judged)
 
 
+@pytest.mark.parametrize("order, crowded", [(1, None), (2, None), (3, 0.5), (4, 0.25)])
+def test_any_order_and_crowded_pivots_equal_the_recursion(spark, monkeypatch, order, crowded):
+    """Pivots that are dealt over several shards, symbols met in many pieces, and copies of texts change no result."""
+    if crowded:
+        monkeypatch.setattr(kneser_ney, "CROWDED", crowded)
+        monkeypatch.setattr(kneser_ney, "LOOKED_AT", 1)
+    monkeypatch.setattr(kneser_ney, "LOOKED_UP", 100)
+    draw = np.random.default_rng(order)
+    texts = ["".join(draw.choice(list("aaaabbcdefgh"), size)) for size in draw.integers(1, 60, 40)]
+    trusted, others = texts[:30], [*texts[30:], texts[0], "zzz", "aaaaaaaaaaaaa"]
+    rows = [(i, t, "en", i < 30) for i, t in enumerate([*trusted, *others, others[0]])]
+    rows += [(i + 1000, t[::-1], "fr", good) for i, t, _, good in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean").repartition(3)
+    table = kneser_ney.model(docs.filter("good"), order, most=50)
+    found = {r["doc_id"]: r for r in kneser_ney.scored(docs, table, order, shard_rows=50, rounds=2).collect()}
+    if crowded:
+        assert table.pairs.filter(F.col("kind") == kneser_ney.PAIRS).select("shard").distinct().count() > 1
+    want = {"en": plain_kneser_ney(trusted, order), "fr": plain_kneser_ney([t[::-1] for t in trusted], order)}
+    for i, text, lang, _ in rows:
+        assert (found[i]["perplexity"], found[i]["n_symbols"]) == (pytest.approx(want[lang](text), rel=1e-9), len(text))
+
+
+def test_ngrams_are_summed_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HELD_ROWS", 8)
+    draw = np.random.default_rng(9)
+    parts, want = [], Counter()
+    for _ in range(20):
+        symbols = np.unique(draw.integers(0, 40, 12).astype(np.uint64))
+        rows = np.unique(draw.integers(0, len(symbols), (15, 3)), axis=0)
+        n = draw.integers(1, 5, len(rows))
+        parts.append(kneser_ney.Grams.read(kneser_ney.Grams(symbols, symbols % np.uint64(3), list(rows.T), [n]).pack(), 3))
+        want.update({tuple(symbols[row].tolist()): int(k) for row, k in zip(rows, n, strict=True)})
+    out = kneser_ney._summed(iter(parts))
+    found = zip(*[out.symbols[c].tolist() for c in out.columns], strict=True)
+    assert dict(zip(found, out.more[0].tolist(), strict=True)) == want and list(want) != sorted(want)
+    assert (out.of == out.symbols % np.uint64(3)).all()
+
+
+def test_disk_holds_few_bytes_a_word(spark, monkeypatch):
+    """At any write the stored tables and the shuffle files of this write together take a few bytes a word."""
+    held, peaks, stored = {}, [], kneser_ney.stored
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        seen = manager.getAllFiles().iterator()
+        out = {}
+        while seen.hasNext():
+            file = seen.next()
+            if file.getName().startswith("shuffle_"):
+                out[file.getName()] = file.length()
+        return out
+
+    def watched(*args, **more):
+        before = files()
+        out = stored(*args, **more)
+        held[out.stored_path] = Path(out.stored_path.removeprefix("file:"))
+        kept = sum(f.stat().st_size for path in held.values() for f in path.rglob("*.parquet"))
+        peaks.append(kept + sum(size for name, size in files().items() if name not in before))
+        return out
+
+    monkeypatch.setattr(kneser_ney, "stored", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("good", F.col("doc_id") % 3 == 0)
+    words = docs.select(F.sum(F.size(F.split("text", r"\s+")))).head()[0]
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(option, "false")  # else the files of a write are gone when it returns
+    try:
+        kneser_ney.judged(docs, F.col("good"), ["doc_id"])
+    finally:
+        spark.conf.unset(option)
+    assert max(peaks) < 12 * words, [round(p / words, 1) for p in peaks]
+    peaks.clear()
+    before = files()
+    kneser_ney.judged(docs.limit(50), F.col("good"), ["doc_id"], rounds=2)
+    assert peaks and sum(size for name, size in files().items() if name not in before) < 100_000
+
+
 def brute_neighbours(rows, top, every):
     rows = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v) and len(v) == 8]
     rows = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
